@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracklore import fixed_values as fx
+from tracklore.functions.timestamps import WHITESPACE
 
 # JSON texts that count as "no value" although they are not null.
 _EMPTY_JSON = r"^(false|-?0(\.0+)?([eE][+-]?\d+)?|\[\]|\{\})$"
@@ -13,48 +13,39 @@ _INTEGER_TEXT = r"^[+-]?\d+(_\d+)*$"
 _INT_MAX = 2147483647
 
 
-def _field(record: Column, key: str) -> Column:
-    return F.try_variant_get(record, f"$.{key}", "variant")
-
-
 def is_object(record: Column) -> Column:
     return F.schema_of_variant(record).startswith("OBJECT")
 
 
-def text_field(record: Column, key: str) -> Column:
-    """The field when it is a JSON string, else NULL."""
-    value = _field(record, key)
-    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+def text_value(value: Column, kind: Column) -> Column:
+    """A field when it is a JSON string, else NULL. ``kind`` is its variant type."""
+    return F.when(kind == "STRING", value.cast("string"))
 
 
-def is_wrong_type(record: Column, key: str) -> Column:
+def is_wrong_type(value: Column, kind: Column) -> Column:
     """True when a text field holds a non-empty value of another JSON type."""
-    value = _field(record, key)
-    kind = F.schema_of_variant(value)
-    odd = ~kind.isin("STRING", "VOID") & ~F.to_json(value).rlike(_EMPTY_JSON)
-    return F.coalesce(odd, F.lit(False))
+    return F.when(kind.isin("STRING", "VOID") | kind.isNull(), False).otherwise(
+        ~F.to_json(value).rlike(_EMPTY_JSON)
+    )
 
 
-def duration_ms(record: Column) -> Column:
+def duration_ms(value: Column, kind: Column) -> Column:
     """Whole milliseconds, truncated toward zero; NULL when not a number."""
-    value = _field(record, fx.KEY_DURATION)
-    kind = F.schema_of_variant(value)
-    text = F.btrim(value.cast("string"))
-    from_text = F.when(
-        text.rlike(_INTEGER_TEXT), F.regexp_replace(text, "_", "").try_cast("bigint")
-    )
-    number = F.try_variant_get(record, f"$.{fx.KEY_DURATION}", "double")
-    from_number = F.when(
-        F.abs(number) < F.lit(1e15), F.try_variant_get(record, f"$.{fx.KEY_DURATION}", "bigint")
-    )
-    return F.when(kind == "STRING", from_text).when(
-        kind.rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)"), from_number
-    )
 
-
-def has_duration(record: Column) -> Column:
-    """False when the field is absent or null."""
-    return F.coalesce(F.schema_of_variant(_field(record, fx.KEY_DURATION)) != "VOID", F.lit(False))
+    def from_text(text: Column) -> Column:
+        return F.when(
+            text.rlike(_INTEGER_TEXT), F.regexp_replace(text, "_", "").try_cast("bigint")
+        )
+
+    number = F.try_variant_get(value, "$", "double")
+    return (
+        F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+        .when(kind == "STRING", from_text(F.btrim(value.cast("string"), F.lit(WHITESPACE))))
+        .when(
+            kind.rlike("^(DECIMAL|DOUBLE|BOOLEAN)"),
+            F.when(F.abs(number) < F.lit(1e15), F.try_variant_get(value, "$", "bigint")),
+        )
+    )
 
 
 def clamp_duration(ms: Column) -> Column:

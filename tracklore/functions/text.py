@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,43 +26,57 @@ def clean_slug(value: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _canonical_unicode(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda s: unicodedata.normalize("NFKC", s).strip().casefold(), na_action="ignore"
-    )
+def _unicode_identity(*components: pd.Series) -> pd.Series:
+    canonical = [
+        part.map(lambda s: unicodedata.normalize("NFKC", s).strip().casefold(), na_action="ignore")
+        for part in components
+    ]
+    joined = canonical[0]
+    for part in canonical[1:]:
+        joined = joined + fx.IDENTITY_SEPARATOR + part
+    return joined
 
 
-def canonical(value: Column) -> Column:
-    """Compatibility-normalised, trimmed, case-folded text.
+def identity(*components: Column, when: Column | None = None) -> Column:
+    """Compatibility-normalised, trimmed, case-folded names, joined.
 
     Spark has no NFKC or case folding. For ASCII text both reduce to ``lower``,
     which stays in generated code; only other text is handed to Python, in Arrow
-    batches that carry NULL for every row already done.
+    batches that carry NULL for every row already done or not asked for.
     """
-    is_ascii = value.rlike(_ASCII_ONLY)
-    native = F.lower(F.btrim(value, F.lit(WHITESPACE)))
-    return F.when(is_ascii, native).otherwise(_canonical_unicode(F.when(~is_ascii, value)))
-
+    ascii_only = F.concat(*components).rlike(_ASCII_ONLY)
+    native = F.concat_ws(
+        fx.IDENTITY_SEPARATOR, *[F.lower(F.btrim(c, F.lit(WHITESPACE))) for c in components]
+    )
+    needed = ~ascii_only if when is None else when & ~ascii_only
+    return F.when(ascii_only, native).otherwise(
+        _unicode_identity(*[F.when(needed, c) for c in components])
+    )
 
-def local_uri(entity_type: str, *components: Column, when: Column | None = None) -> Column:
-    """Stable URI derived from an entity's names.
 
-    Readable slug plus a hash prefix of the exact identity, so names that share a
-    slug stay apart. ``when`` limits the work to rows that need a derived URI.
-    """
-    needed = [c if when is None else F.when(when, c) for c in components]
-    identity = F.concat_ws(fx.IDENTITY_SEPARATOR, *[canonical(c) for c in needed])
-    slug = F.btrim(F.regexp_replace(identity, r"[^\p{L}\p{N}_]+", "-"), F.lit("-"))
-    digest = F.substring(F.sha2(identity, 256), 1, fx.IDENTITY_HASH_LENGTH)
-    uri = F.concat_ws(
+def uri_of_identity(entity_type: str, name: Column) -> Column:
+    """URI of an identity: readable slug plus a hash prefix of the exact identity, so
+    that names sharing a slug stay apart."""
+    slug = F.btrim(F.regexp_replace(name, r"[^\p{L}\p{N}_]+", "-"), F.lit("-"))
+    return F.concat_ws(
         ":",
         F.lit(fx.URI_SCHEME),
         F.lit(entity_type),
         F.lit(fx.LOCAL_URI_VERSION),
-        F.when(slug == "", F.lit(entity_type)).otherwise(slug),
-        digest,
+        F.regexp_replace(slug, "^$", entity_type),
+        F.substring(F.sha2(name, 256), 1, fx.IDENTITY_HASH_LENGTH),
     )
-    return uri if when is None else F.when(when, uri)
+
+
+def local_uri(entity_type: str, *components: Column, when: Column | None = None) -> Column:
+    """Stable URI derived from an entity's names.
+
+    ``when`` limits the work to rows that need a derived URI; others get NULL.
+    """
+    wanted = F.concat(*components).isNotNull()
+    if when is not None:
+        wanted = when & wanted
+    return F.when(wanted, uri_of_identity(entity_type, identity(*components, when=when)))
 
 
 def artist_uri(name: Column, collision_safe: bool = False) -> Column:
@@ -82,12 +97,11 @@ def track_id(uri: Column) -> Column:
     return F.when(usable, rest)
 
 
-def rounded_text(value: Column, digits: int) -> Column:
-    """A double rounded to ``digits`` places and printed in its shortest form.
+def _rounded_exactly(value: Column, digits: int) -> Column:
+    """``rounded_text`` for any value, deciding on the exact binary value.
 
-    Rounding is decided on the exact binary value, ties to even. Multiplying by
-    10**digits is made exact by splitting the double into two short halves
-    (Veltkamp's split), so the half-way test sees no rounding error. Magnitudes
+    Multiplying by 10**digits is made exact by splitting the double into two short
+    halves (Veltkamp's split), so the half-way test sees no rounding error. Magnitudes
     of 1e12 and more, where no feature lies, are printed as they are.
     """
     scale = 10**digits
@@ -107,15 +121,30 @@ def rounded_text(value: Column, digits: int) -> Column:
         .when((fa == 0) & (fb == -0.5) & odd, -1)
         .otherwise(0)
     )
-    units = whole + step
-    fraction = F.rtrim(F.lpad((units % scale).cast("string"), digits, "0"), F.lit("0"))
-    printed = F.concat(
-        F.when(value.cast("string").startswith("-"), "-").otherwise(""),
-        F.floor((units - units % scale) / scale).cast("string"),
-        F.lit("."),
-        F.when(fraction == "", "0").otherwise(fraction),
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(x < F.lit(1e12), F.concat(sign, _scaled_text(whole + step, digits))).otherwise(
+        F.lower(value.cast("string"))
     )
-    return F.when(x < F.lit(1e12), printed).otherwise(F.lower(value.cast("string")))
+
+
+def _scaled_text(units: Column, digits: int) -> Column:
+    """units / 10**digits in its shortest decimal form, with at least one decimal."""
+    exact = units.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-digits))
+    return F.regexp_replace(exact.cast("string"), r"(\.\d+?)0+$", "$1")
+
+
+def rounded_text(value: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` places, ties to even, in its shortest form.
+
+    Away from the half-way points plain arithmetic is safe; only values close to one,
+    and those without a positive sign, take the exact but longer route. It is kept in a
+    lambda so that the generated code of the usual route stays short.
+    """
+    scaled = value * F.lit(float(10**digits))
+    clear = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) > F.lit(0.001)
+    return F.when(
+        (value > 0) & (value < F.lit(1e9)) & clear, _scaled_text(F.rint(scaled), digits)
+    ).otherwise(F.transform(F.array(value), lambda v: _rounded_exactly(v, digits))[0])
 
 
 def embedding_text(

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 # Every character that counts as white space at the ends of a text value.
 WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 
-# The shapes nearly every export uses; Spark's own cast reads them directly.
+# The shapes nearly every export uses; Spark's own cast reads them directly. Years at
+# either end of the calendar, where an offset may lead outside it, are left out.
 _USUAL = (
-    r"^(?!0000)\d{4}-\d{2}-\d{2}"
+    r"^(?!0000|0001|9999)\d{4}-\d{2}-\d{2}"
     r"(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?)?)?$"
 )
 
@@ -36,8 +37,7 @@ def _or_default(piece: Column, default: str) -> Column:
     return F.when(piece == "", F.lit(default)).otherwise(piece)
 
 
-def _parse_general(text: Column) -> Column:
-    p = F.split(F.regexp_replace(text, _GENERAL, _PIECES), r"\|")
+def _from_pieces(p: Column) -> Column:
     year, month, day, wyear, week, wday = (p[i] for i in range(6))
     hour, minute, second, fraction = (p[i] for i in range(6, 10))
     sign, off_h, off_m, off_s = (p[i] for i in range(10, 14))
@@ -67,7 +67,15 @@ def _parse_general(text: Column) -> Column:
     )
     shift = F.when(sign == "-", offset).otherwise(-offset)
     shifted = local + F.make_dt_interval(secs=shift.cast("decimal(18,6)"))
-    return F.when(date.isNotNull() & (offset < 86400), shifted.cast("timestamp"))
+    usable = date.isNotNull() & (offset < 86400) & F.year(shifted).between(1, 9999)
+    return F.when(usable, shifted.cast("timestamp"))
+
+
+def _parse_general(text: Column) -> Column:
+    # The lambda names the pieces once. Without it every use would repeat the pattern
+    # in the generated code, which the usual rows would have to carry along.
+    pieces = F.split(F.regexp_replace(text, _GENERAL, _PIECES), r"\|")
+    return F.transform(F.array(pieces), _from_pieces)[0]
 
 
 def parse_timestamp(value: Column) -> Column:
@@ -76,8 +84,6 @@ def parse_timestamp(value: Column) -> Column:
     A value without an offset is read as UTC. Needs the session zone to be UTC.
     """
     text = F.btrim(value, F.lit(WHITESPACE))
-    parsed = (
-        F.when(text.rlike(_USUAL), text.try_cast("timestamp"))
-        .when(text.rlike(_GENERAL), _parse_general(text))
+    return F.when(text.rlike(_USUAL), text.try_cast("timestamp")).when(
+        text.rlike(_GENERAL), _parse_general(text)
     )
-    return F.when(F.year(parsed).between(1, 9999), parsed)

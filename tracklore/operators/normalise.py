@@ -17,16 +17,17 @@ def normalise(records: DataFrame) -> DataFrame:
     One projection, no shuffle. A value of a wrong type is set aside with a reason
     so that one bad record does not stop the import.
     """
-    uri = blank_to_null(F.col("track_uri"))
-    title = blank_to_null(F.col("title"))
-    artist = blank_to_null(F.col("artist_name"))
-    derive = uri.isNull() & title.isNotNull() & artist.isNotNull()
-    out = records.select(
+    rows = records.withColumns(
+        {c: blank_to_null(F.col(c)) for c in ("track_uri", "title", "artist_name")}
+    )
+    artist, title = F.col("artist_name"), F.col("title")
+    derived = local_uri("track", artist, title, when=F.col("track_uri").isNull())
+    out = rows.select(
         "file_name",
         "pos",
-        F.coalesce(uri, local_uri("track", artist, title, when=derive)).alias("track_uri"),
-        F.coalesce(title, F.lit(fx.DEFAULT_TITLE)).alias("title"),
-        artist.alias("artist_name"),
+        F.coalesce("track_uri", derived).alias("track_uri"),
+        F.coalesce("title", F.lit(fx.DEFAULT_TITLE)).alias("title"),
+        "artist_name",
         "album_name",
         parse_timestamp(F.col("ts")).alias("played_at"),
         clamp_duration(F.col("ms_played")).alias("playback_ms"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklore import fixed_values as fx
 from tracklore.operators import dimensions, enrich, normalise
 from tracklore.operators.dimensions import SOURCE_ORDER
 from tracklore.operators.upsert import dense_play_ids, new_rows, stamp
@@ -93,13 +94,14 @@ def import_history(
     features: DataFrame | None = None,
     encoder=None,
     collision_safe: bool = False,
+    pattern: str = fx.EXPORT_FILE_PATTERN,
 ) -> dict:
     """Import a file or folder of exports and return the report numbers."""
     configure(spark)
     warehouse = Warehouse(spark, root)
     if reset:
         warehouse.reset()
-    counts = load_documents(warehouse, read_documents(spark, path), collision_safe)
+    counts = load_documents(warehouse, read_documents(spark, path, pattern), collision_safe)
     stats = enrich_after_import(warehouse, features, encoder)
     warehouse.refresh_profile()
     return {

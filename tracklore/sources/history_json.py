@@ -20,6 +20,16 @@ DOCUMENT_SCHEMA = "file_name string, value string"
 _END = '["end-of-document"]'
 _JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
+_FIELDS = {
+    "ts": fx.KEY_TIMESTAMP,
+    "track_uri": fx.KEY_TRACK_URI,
+    "title": fx.KEY_TITLE,
+    "artist_name": fx.KEY_ARTIST,
+    "album_name": fx.KEY_ALBUM,
+    "ms_played": fx.KEY_DURATION,
+}
+_RECORD_TYPE = "struct<" + ", ".join(f"{key}: variant" for key in _FIELDS.values()) + ">"
+
 
 def _is_single_file(spark: SparkSession, path: str) -> bool | None:
     """True for a file, False for a folder, None when nothing is there."""
@@ -44,10 +54,8 @@ def read_documents(
     kind = _is_single_file(spark, path)
     if kind is None:
         return spark.createDataFrame([], DOCUMENT_SCHEMA)
-    reader = spark.read.option("wholetext", True)
-    if not kind:
-        reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", False)
-    return reader.text(path).select(file_name(), "value")
+    glob = None if kind else pattern
+    return spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(file_name(), "value")
 
 
 def file_name() -> Column:
@@ -56,36 +64,56 @@ def file_name() -> Column:
     return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))).alias("file_name")
 
 
-def explode_records(documents: DataFrame) -> DataFrame:
-    """One row per JSON object: (file_name, pos, record VARIANT)."""
+def _document_array() -> Column:
+    """The document's root array as ``array<variant>``; NULL when it is not one."""
     wrapped = F.concat(F.lit("["), F.col("value"), F.lit(f",{_END}]"))
     parts = F.from_json(wrapped, "array<array<variant>>", _JSON_OPTIONS)
+    # The lambda names the parsed value, so that it is parsed once.
+    root = F.transform(
+        F.array(parts), lambda p: F.when((F.size(p) == 2) & p[1].isNotNull(), p[0])
+    )
+    return root[0]
+
+
+def explode_records(documents: DataFrame) -> DataFrame:
+    """One row per JSON object: (file_name, pos, record VARIANT)."""
     return (
         documents.filter(F.is_valid_utf8("value"))
-        .select("file_name", parts.alias("parts"))
-        .filter((F.size("parts") == 2) & F.col("parts")[1].isNotNull())
-        .select("file_name", F.posexplode(F.col("parts")[0]).alias("pos", "record"))
+        .select("file_name", F.posexplode(_document_array()).alias("pos", "record"))
         .filter(rec.is_object(F.col("record")))
     )
 
 
-def typed_records(records: DataFrame) -> DataFrame:
-    """The six known keys of each record as plain columns; other keys are ignored."""
-    r = F.col("record")
-    wrong = [rec.is_wrong_type(r, k) for k in (fx.KEY_TRACK_URI, fx.KEY_TITLE, fx.KEY_ARTIST, fx.KEY_ALBUM)]
-    return records.select(
-        "file_name",
-        "pos",
-        rec.text_field(r, fx.KEY_TIMESTAMP).alias("ts"),
-        rec.text_field(r, fx.KEY_TRACK_URI).alias("track_uri"),
-        rec.text_field(r, fx.KEY_TITLE).alias("title"),
-        rec.text_field(r, fx.KEY_ARTIST).alias("artist_name"),
-        rec.text_field(r, fx.KEY_ALBUM).alias("album_name"),
-        rec.duration_ms(r).alias("ms_played"),
-        rec.has_duration(r).alias("has_duration"),
-        (wrong[0] | wrong[1] | wrong[2] | wrong[3]).alias("wrong_type"),
+def scan_history(documents: DataFrame) -> DataFrame:
+    """The six known keys of each record as plain columns; other keys are ignored.
+
+    An element that is not an object does not convert to the record type and is dropped.
+    """
+    fields = F.transform(_document_array(), lambda item: F.try_variant_get(item, "$", _RECORD_TYPE))
+    split = (
+        documents.filter(F.is_valid_utf8("value"))
+        .select("file_name", F.posexplode(fields).alias("pos", "r"))
+        .filter(F.col("r").isNotNull())
+        .select("file_name", "pos", *[F.col(f"r.{key}").alias(name) for name, key in _FIELDS.items()])
+    )
+    kinds = split.select(
+        "*", *[F.schema_of_variant(name).alias(f"{name}_kind") for name in _FIELDS]
     )
 
+    def of(name: str) -> tuple[Column, Column]:
+        return F.col(name), F.col(f"{name}_kind")
 
-def scan_history(documents: DataFrame) -> DataFrame:
-    return typed_records(explode_records(documents))
+    wrong = F.lit(False)
+    for name in ("track_uri", "title", "artist_name", "album_name"):
+        wrong = wrong | rec.is_wrong_type(*of(name))
+    return kinds.select(
+        "file_name",
+        "pos",
+        *[
+            rec.text_value(*of(name)).alias(name)
+            for name in ("ts", "track_uri", "title", "artist_name", "album_name")
+        ],
+        rec.duration_ms(*of("ms_played")).alias("ms_played"),
+        F.coalesce(F.col("ms_played_kind") != "VOID", F.lit(False)).alias("has_duration"),
+        wrong.alias("wrong_type"),
+    )

@@ -13,7 +13,12 @@ from tracklore.sources.warehouse import Warehouse
 
 
 def stream_history(
-    spark: SparkSession, path: str, root: str, checkpoint: str | None = None, **trigger
+    spark: SparkSession,
+    path: str,
+    root: str,
+    checkpoint: str | None = None,
+    pattern: str = fx.EXPORT_FILE_PATTERN,
+    **trigger,
 ) -> StreamingQuery:
     """Load each file of ``path`` once. Replayed batches are harmless: loading inserts
     only what is not stored. Default trigger: everything available, then stop."""
@@ -22,7 +27,7 @@ def stream_history(
     documents = (
         spark.readStream.format("text")
         .option("wholetext", True)
-        .option("pathGlobFilter", fx.EXPORT_FILE_PATTERN)
+        .option("pathGlobFilter", pattern)
         .load(path)
         .select(file_name(), "value")
     )
