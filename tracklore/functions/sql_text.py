@@ -22,11 +22,14 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_sql(raw: Column) -> Column:
     """Without Markdown fences, outer white space and one trailing semicolon."""
     body = F.regexp_replace(F.regexp_replace(raw, _FENCE_OPEN, ""), _FENCE_CLOSE, "")
-    body = _strip(body)
-    return F.when(body.endswith(";"), _strip(F.left(body, F.length(body) - 1))).otherwise(body)
+    return _strip(F.regexp_replace(_strip(body), r";\z", ""))
 
 
 def forbidden_relations(normalized: Column) -> Column:
@@ -43,15 +46,23 @@ def audit_sql(sql: Column) -> Column:
     inside a title are not taken for SQL.
     """
     masked = F.regexp_replace(F.regexp_replace(sql, _COMMENT, " "), _QUOTED, "''")
-    normalized = F.lower(_strip(masked))
-    forbidden = forbidden_relations(normalized)
     before, after = fx.REASON_RAW_TABLES.split("{}")
-    raw_tables = F.concat(F.lit(before), F.array_join(forbidden, fx.LIST_SEPARATOR), F.lit(after))
-    return (
-        F.when(F.coalesce(sql, F.lit("")) == "", fx.REASON_EMPTY)
-        .when(masked.contains(";"), fx.REASON_SEVERAL)
-        .when(~normalized.rlike(_STARTS_AS_QUERY), fx.REASON_NOT_SELECT)
-        .when(normalized.rlike(_WRITES), fx.REASON_WRITES)
-        .when(~normalized.rlike(_VIEW), fx.REASON_NO_VIEW)
-        .when(F.size(forbidden) > 0, raw_tables)
+
+    def reason(masked: Column, normalized: Column, forbidden: Column) -> Column:
+        raw_tables = F.concat(F.lit(before), F.array_join(forbidden, fx.LIST_SEPARATOR), F.lit(after))
+        return (
+            F.when(masked.contains(";"), fx.REASON_SEVERAL)
+            .when(~normalized.rlike(_STARTS_AS_QUERY), fx.REASON_NOT_SELECT)
+            .when(normalized.rlike(_WRITES), fx.REASON_WRITES)
+            .when(~normalized.rlike(_VIEW), fx.REASON_NO_VIEW)
+            .when(F.size(forbidden) > 0, raw_tables)
+        )
+
+    # Each lambda names a value used several times, so that it is computed once.
+    checked = _let(
+        masked,
+        lambda m: _let(
+            F.lower(_strip(m)), lambda n: _let(forbidden_relations(n), lambda f: reason(m, n, f))
+        ),
     )
+    return F.when(F.coalesce(sql, F.lit("")) == "", fx.REASON_EMPTY).otherwise(checked)

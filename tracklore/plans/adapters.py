@@ -6,6 +6,8 @@ artists or features and artists without genres come out of the values themselves
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from tracklore.schema import Star
 RECORDS_PER_DOCUMENT = 1000
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table; kept per session, as opening one reads its footers."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,19 +52,21 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier")
+    # The 25 nations of the fixed-size table are looked up as one map value. Joining them
+    # would make Spark multiply table sizes and take the artists for a large side.
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    genres = F.when(F.col("s_acctbal") >= 2000, F.array("n_name", "r_name"))
-    return (
-        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            _artist(F.col("s_suppkey")).alias("uri"),
-            F.col("s_name").alias("name"),
-            genres.alias("genres"),
-            F.col("s_nationkey").alias("popularity"),
-        )
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    entries = F.collect_list(F.struct("n_nationkey", F.array("n_name", "r_name")))
+    lookup = places.agg(F.map_from_entries(entries).alias("m")).scalar()
+    located = table(spark, sf_dir, "supplier").withColumn(
+        "place", F.try_element_at(lookup, F.col("s_nationkey"))
+    )
+    return located.filter(F.col("place").isNotNull()).select(
+        _artist(F.col("s_suppkey")).alias("uri"),
+        F.col("s_name").alias("name"),
+        F.when(F.col("s_acctbal") >= 2000, F.col("place")).alias("genres"),
+        F.col("s_nationkey").alias("popularity"),
     )
 
 
