@@ -8,6 +8,7 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tracklore import fixed_values as fx
 
@@ -38,7 +39,7 @@ def model_encoder(
     ``load`` runs once per Python worker and returns a function from an array of texts
     to a 2-D array of vectors, which is then fed batches of ``batch_size`` texts.
     """
-    predict = predict_batch_udf(load, return_type="array<float>", batch_size=batch_size)
+    predict = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch_size)
 
     def encode(rows: DataFrame, text: str, out: str) -> DataFrame:
         return rows.withColumn(out, predict(F.col(text)))

@@ -50,25 +50,35 @@ def run_structured_query(
 ) -> list[dict]:
     """Run a checked statement and return plain rows; TimeoutError past the limit."""
     result = structured_query(spark, sql, max_rows)
+    context = spark.sparkContext
     tag = f"tracklore-{uuid.uuid4().hex}"
-    expired = threading.Event()
+    done, expired = threading.Event(), threading.Event()
 
-    def interrupt():
+    def watch():
+        if done.wait(timeout_ms / 1000.0):
+            return
         expired.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(timeout_ms / 1000.0, interrupt)
-    spark.addTag(tag)
-    timer.start()
+        # A query may start further jobs after the first was cancelled.
+        while not done.wait(0.1):
+            context.cancelJobsWithTag(tag)
+
+    context.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    rows, failure = [], None
     try:
-        return [row.asDict(recursive=True) for row in result.collect()]
+        rows = [row.asDict(recursive=True) for row in result.collect()]
     except Exception as error:
-        if expired.is_set():
-            raise TimeoutError(f"query exceeded {timeout_ms} ms") from error
-        raise
+        failure = error
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
+    if expired.is_set():
+        raise TimeoutError(f"query exceeded {timeout_ms} ms") from failure
+    if failure is not None:
+        raise failure
+    return rows
 
 
 def rows_as_json(rows: list[dict]) -> str:

@@ -190,7 +190,7 @@ class AnnIndex:
 
 def _unit_vectors(embeddings: DataFrame) -> DataFrame:
     length = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    scaled = F.transform("embedding", lambda v: v.cast("double") / F.col("_length"))
+    scaled = F.transform("embedding", lambda v: F.try_divide(v.cast("double"), F.col("_length")))
     return (
         embeddings.withColumn("_length", length)
         .filter(F.col("_length") > 0)
@@ -199,5 +199,7 @@ def _unit_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def _bucket_rows(model, unit: DataFrame, key: str) -> DataFrame:
-    hashed = model.transform(unit).select(key, F.posexplode("hashes").alias("table_no", "h"))
+    # The outer form keeps Spark from filtering on hashes before vectors without length
+    # are out of the way; every remaining vector has hashes.
+    hashed = model.transform(unit).select(key, F.posexplode_outer("hashes").alias("table_no", "h"))
     return hashed.select(key, "table_no", vector_to_array("h")[0].cast("bigint").alias("bucket"))
