@@ -225,8 +225,8 @@ def test_structured_query(spark):
 
 def test_timeout_interrupts(spark):
     def publish(session):
-        slow = session.range(0, 4, 1, 4).selectExpr(
-            "id", "aggregate(sequence(1, 60000000 + id), 0D, (a, x) -> a + sqrt(x)) AS x"
+        slow = session.range(0, 200000, 1, 4).selectExpr(
+            "id", "aggregate(sequence(1, 20000 + id % 7), 0D, (a, x) -> a + sqrt(x)) AS x"
         )
         slow.createOrReplaceTempView(fx.HISTORY_VIEW)
 

@@ -1,5 +1,6 @@
 """Joins and rankings when one key holds a third of all rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracklore.operators.skew import hot_keys, salted_join
@@ -14,25 +15,22 @@ def uneven(spark, n=3000):
 
 
 def test_hot_keys(spark):
-    assert [r.key for r in hot_keys(uneven(spark), "key", share=0.05).collect()] == ["hot"]
+    found = hot_keys(uneven(spark), "key", share=0.05, rows_per_salt=100).collect()
+    assert [(r.key, r._salts) for r in found] == [("hot", 10)]
+    assert hot_keys(uneven(spark), "key", share=0.05).count() == 0
     assert hot_keys(uneven(spark).limit(0), "key").count() == 0
 
 
-def test_salted_join_equals_plain_join(spark):
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("rows_per_salt", [10, 100, 10**6])
+def test_salted_join_equals_plain_join(spark, how, rows_per_salt):
     facts = uneven(spark)
     dims = spark.range(500).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("d"))
     dims = dims.unionByName(spark.createDataFrame([("hot", -1), ("unused", -2)], "key string, d bigint"))
-    for how in ("inner", "left"):
-        salted = salted_join(facts, dims, "key", ["id"], how).select("id", "key", "d")
-        plain = facts.join(dims, "key", how).select("id", "key", "d")
-        assert salted.count() == plain.count()
-        assert salted.exceptAll(plain).count() == 0
-
-
-def test_hot_rows_reach_many_salts(spark):
-    facts = uneven(spark)
-    salts = facts.filter("key = 'hot'").select(F.pmod(F.xxhash64("id"), F.lit(64)).alias("s"))
-    assert salts.distinct().count() == 64
+    salted = salted_join(facts, dims, "key", ["id"], how, rows_per_salt=rows_per_salt).select("id", "key", "d")
+    plain = facts.join(dims, "key", how).select("id", "key", "d")
+    assert salted.count() == plain.count()
+    assert salted.exceptAll(plain).count() == 0
 
 
 def test_rank_equals_window_rank(spark):

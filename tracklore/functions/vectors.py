@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,5 +23,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.lit(1.0) - similarity)
 
 
-def literal_vector(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def distance_to(a: Column, vector: list[float]) -> Column:
+    """Cosine distance to a fixed vector, whose length is worked out once."""
+    length = math.sqrt(sum(v * v for v in vector))
+    if not length:
+        return F.lit(None).cast("double")
+    unit = F.array(*[F.lit(v / length) for v in vector])
+    distance = F.lit(1.0) - F.try_divide(dot(a, unit), norm(a))
+    return F.when(F.size(a) == len(vector), distance)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklore import fixed_values as fx
-from tracklore.functions.vectors import cosine_distance, dot, literal_vector
+from tracklore.functions.vectors import distance_to, dot
+from tracklore.operators.skew import broadcast_rows
 from tracklore.plans.history_view import track_credits
 from tracklore.schema import Star
 
@@ -24,7 +25,7 @@ def nearest(embeddings: DataFrame, vector: list[float], k: int = fx.SEARCH_K) ->
     One scan of two columns; each task keeps its own ``k`` best. Distances without a
     value (zero or missing vectors) come last; ties by URI.
     """
-    distance = cosine_distance(F.col("embedding"), literal_vector(vector))
+    distance = distance_to(F.col("embedding"), vector)
     return (
         embeddings.select("track_uri", distance.alias("cosine_distance"))
         .orderBy(F.asc_nulls_last("cosine_distance"), "track_uri")
@@ -32,9 +33,9 @@ def nearest(embeddings: DataFrame, vector: list[float], k: int = fx.SEARCH_K) ->
     )
 
 
-def with_metadata(hits: DataFrame, star: Star) -> DataFrame:
-    """Hits (a bounded top-k) with track, artist and feature columns."""
-    hits = F.broadcast(hits)
+def with_metadata(hits: DataFrame, star: Star, k: int) -> DataFrame:
+    """Hits (at most ``k`` rows) with track, artist and feature columns."""
+    hits = broadcast_rows(hits, k)
     tracks = star.tracks.select(
         F.col("uri").alias("track_uri"),
         F.col("title").alias("track"),
@@ -74,7 +75,7 @@ def semantic_search(star: Star, vector: list[float], k: int = fx.SEARCH_K) -> Da
     known = star.embeddings.join(
         star.tracks.select(F.col("uri").alias("track_uri")), "track_uri", "left_semi"
     )
-    return with_metadata(nearest(known, vector, k), star).orderBy(
+    return with_metadata(nearest(known, vector, k), star, k).orderBy(
         F.asc_nulls_last("cosine_distance"), "track_uri"
     )
 

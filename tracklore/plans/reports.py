@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklore.operators.skew import broadcast_rows
+
 
 def plays_per_track(plays: DataFrame, period: str | None = None) -> DataFrame:
     keys = ["track_uri"]
@@ -80,7 +82,7 @@ def topn_by_period(plays: DataFrame, tracks: DataFrame, n: int, period: str) ->
     The second pass over plays keeps only top tracks through a broadcast of ``n`` rows.
     """
     top = top_tracks(plays, tracks, n).select("track_uri", "track_title")
-    kept = plays.join(F.broadcast(top), "track_uri")
+    kept = plays.join(broadcast_rows(top, n), "track_uri")
     return (
         kept.withColumn("period", F.date_trunc(period, "played_at"))
         .groupBy("track_uri", "track_title", "period")
