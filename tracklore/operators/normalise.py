@@ -41,7 +41,10 @@ def normalise(records: DataFrame) -> DataFrame:
         .when(~F.col("has_duration"), "missing_duration")
         .when(F.col("playback_ms").isNull(), "invalid_duration")
     )
-    return out.withColumn("reason", reason).drop("has_duration", "wrong_type")
+    out = out.withColumn("reason", reason).drop("has_duration", "wrong_type")
+    # A generator between here and a filter on ``reason`` keeps Spark from computing
+    # URIs and timestamps a second time inside that filter.
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
 
 
 def valid_plays(normalised: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ def nearest(embeddings: DataFrame, vector: list[float], k: int = fx.SEARCH_K) ->
     """The ``k`` tracks closest to ``vector``: (track_uri, cosine_distance).
 
     One scan of two columns; each task keeps its own ``k`` best. Distances without a
-    value (zero or missing vectors) come last; ties by URI.
+    value (zero or missing vectors) come last. Ties, up to rounding noise, go by URI.
     """
     distance = distance_to(F.col("embedding"), vector)
     return (
         embeddings.select("track_uri", distance.alias("cosine_distance"))
-        .orderBy(F.asc_nulls_last("cosine_distance"), "track_uri")
+        .orderBy(F.round("cosine_distance", 12).asc_nulls_last(), "track_uri")
         .limit(k)
     )
 
@@ -76,7 +76,7 @@ def semantic_search(star: Star, vector: list[float], k: int = fx.SEARCH_K) -> Da
         star.tracks.select(F.col("uri").alias("track_uri")), "track_uri", "left_semi"
     )
     return with_metadata(nearest(known, vector, k), star, k).orderBy(
-        F.asc_nulls_last("cosine_distance"), "track_uri"
+        F.round("cosine_distance", 12).asc_nulls_last(), "track_uri"
     )
 
 
