@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklore.operators.dimensions import first_wins
+from tracklore.operators.skew import broadcast_rows
 
 
 def new_rows(
@@ -112,7 +113,7 @@ def dense_play_ids(plays: DataFrame, after: int = 0, digits: int = 4) -> DataFra
     before = F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")
     starts = sizes.select("_range", before.alias("_before"))
     in_range = F.row_number().over(Window.partitionBy("_range").orderBy("_key", "played_at", "track_uri"))
-    numbered = keyed.withColumn("_n", in_range).join(F.broadcast(starts), "_range")
+    numbered = keyed.withColumn("_n", in_range).join(broadcast_rows(starts, 16**digits), "_range")
     return numbered.withColumn("id", F.lit(after) + F.col("_before") + F.col("_n")).drop(
         "_key", "_range", "_n", "_before"
     )
