@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklore.llm import substring_dedup
+from tracklore.llm import exact_dedup, substring_dedup
 from tracklore.llm.text_arrays import documents
 
 QUERIES = {}
@@ -20,7 +20,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(documents(spark, sf_dir)).drop("kept_text")
 
 
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(documents(spark, sf_dir))
+
+
 ORACLES = {
+    "op7_exact_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
+            FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM texts WINDOW w AS (PARTITION BY t)
+    """,
     "op4_substring_dedup": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w

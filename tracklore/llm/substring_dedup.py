@@ -35,13 +35,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklore.llm import count_min
 from tracklore.llm.text_arrays import (
     U64,
     batches,
     binaries,
     flat,
     hasher,
-    mix,
     prepare,
     ragged,
     spaces,
@@ -50,9 +50,7 @@ from tracklore.llm.text_arrays import (
 
 WINDOW = 50
 MAX_CELLS = 1 << 28
-ROWS = 2
 _LOAD = 0.25
-_BLOCKS = 256
 _BUCKET_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
 
@@ -65,11 +63,8 @@ class Plan:
         self.part = max(1, window // 2)
         # A batch has two representatives per (window - part + 2) words of some 6 bytes.
         entries = total_bytes / 6 * 2 / (window - self.part + 2)
-        cells = 1 << 16
-        while cells < max_cells and cells * _LOAD < entries:
-            cells *= 2
-        self.cells = cells
-        self.slices = max(1, int(np.ceil(entries / cells / 2 / _LOAD)))
+        self.cells = count_min.cells_for(entries, _LOAD, max_cells)
+        self.slices = max(1, int(np.ceil(entries / self.cells / 2 / _LOAD)))
         self.buckets = max(1, int(np.ceil(total_bytes / _BUCKET_BYTES)))
 
 
@@ -88,20 +83,12 @@ def representatives(hashes: np.ndarray, word_offsets: np.ndarray, plan: Plan):
     return starts, parts[places], places
 
 
-def cells_of(keys: np.ndarray, plan: Plan) -> np.ndarray:
-    """The cell of each key in each row of the sketch."""
-    mask = U64(plan.cells - 1)
-    other = mix(keys ^ U64(0xA0761D6478BD642F))
-    return np.stack([(keys & mask), (other & mask) + U64(plan.cells)])
-
-
 def in_slice(keys: np.ndarray, plan: Plan, number: int) -> np.ndarray:
     return (keys >> U64(36)) % U64(plan.slices) == U64(number)
 
 
 def sketch_batches(plan: Plan, number: int):
-    """Each batch's own sketch: the cells it touches once and those it touches more often."""
-    block_cells = ROWS * plan.cells // _BLOCKS
+    """Each batch's own sketch of its representatives, each place counted once."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
@@ -109,72 +96,14 @@ def sketch_batches(plan: Plan, number: int):
             starts, ends, word_offsets = words(data, offsets, spaces())
             hashes = hasher(41).words(data, starts, ends)
             _, keys, places = representatives(hashes, word_offsets, plan)
-            first = np.flatnonzero(np.diff(places, prepend=-1))
-            keys = keys[first]
+            keys = keys[np.flatnonzero(np.diff(places, prepend=-1))]
             keys = keys[in_slice(keys, plan, number)]
-            cells, counts = np.unique(cells_of(keys, plan).ravel(), return_counts=True)
-            if not len(cells):
-                continue
-            once, more = cells[counts == 1], cells[counts > 1]
-            blocks = np.arange(_BLOCKS + 1, dtype=U64) * U64(block_cells)
-            base = np.repeat(blocks[:-1], 1)
-            a, b = np.searchsorted(once, blocks), np.searchsorted(more, blocks)
-            once = (once - base[np.repeat(np.arange(_BLOCKS), np.diff(a))]).astype(np.uint32)
-            more = (more - base[np.repeat(np.arange(_BLOCKS), np.diff(b))]).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(_BLOCKS, dtype=np.int32)), binaries(once, a), binaries(more, b)],
-                ["block", "once", "more"],
-            )
+            if len(keys):
+                yield count_min.partial(keys, plan.cells)
 
     return run
 
 
-def merge_blocks(plan: Plan):
-    """Sum sketches block by block (blocks arrive sorted); a bit for each cell of two or more."""
-    block_cells = ROWS * plan.cells // _BLOCKS
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, counts = None, None
-        for batch in batches(source):
-            for block, once, more in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if block != current:
-                    if current is not None:
-                        yield _bits(current, counts)
-                    current, counts = block, np.zeros(block_cells, np.uint8)
-                cells = np.frombuffer(once, np.uint32)  # distinct within one batch
-                counts[cells] = np.minimum(counts[cells] + 1, 2)
-                counts[np.frombuffer(more, np.uint32)] = 2
-        if current is not None:
-            yield _bits(current, counts)
-
-    return run
-
-
-def _bits(block: int, counts: np.ndarray) -> pa.RecordBatch:
-    bits = np.packbits(counts >= 2, bitorder="little").tobytes()
-    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bits": pa.array([bits], pa.binary())})
-
-
-def repeated_cells(texts: DataFrame, plan: Plan, number: int) -> np.ndarray:
-    """The merged sketch as one bit a cell; its size is bounded by MAX_CELLS."""
-    merged = (
-        texts.select("text")
-        .mapInArrow(sketch_batches(plan, number), "block int, once binary, more binary")
-        .repartition("block")
-        .sortWithinPartitions("block")
-        .mapInArrow(merge_blocks(plan), "block int, bits binary")
-    )
-    size = ROWS * plan.cells // _BLOCKS // 8
-    bits = np.zeros(_BLOCKS * size, np.uint8)
-    for row in merged.toLocalIterator():
-        bits[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return bits
-
-
-def test_bits(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (bits[(cells >> U64(3)).astype(np.int64)] >> (cells & U64(7)).astype(np.uint8)) & 1 == 1
-
-
 def emit_windows(plan: Plan, number: int, sketch):
     """Windows estimated repeated, in one blob per bucket and batch.
 
@@ -189,7 +118,7 @@ def emit_windows(plan: Plan, number: int, sketch):
             hashes = hasher(41).words(data, starts, ends)
             at, keys, _ = representatives(hashes, word_offsets, plan)
             keep = in_slice(keys, plan, number)
-            keep[keep] = test_bits(sketch.value, cells_of(keys[keep], plan)).all(axis=0)
+            keep[keep] = count_min.reached(sketch.value, keys[keep], plan.cells)
             at = at[keep]
             if not len(at):
                 continue
@@ -272,7 +201,8 @@ def repeated_places(docs: DataFrame, id_col="doc_id", text_col="text", window=WI
     plan = Plan(size, window, max_cells)
     found = []
     for number in range(plan.slices):
-        sketch = spark.sparkContext.broadcast(repeated_cells(keyed, plan, number))
+        partials = keyed.select("text").mapInArrow(sketch_batches(plan, number), count_min.PARTIAL)
+        sketch = spark.sparkContext.broadcast(count_min.merged(partials, plan.cells)[0])
         found.append(keyed.mapInArrow(emit_windows(plan, number, sketch), _BLOB))
     blobs = found[0]
     for other in found[1:]:
