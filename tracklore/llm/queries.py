@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklore.llm import exact_dedup, substring_dedup
+from tracklore.llm import exact_dedup, near_dedup, substring_dedup
 from tracklore.llm.text_arrays import documents
 
 QUERIES = {}
@@ -15,6 +15,11 @@ def query(run):
     return run
 
 
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("text_key")
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(documents(spark, sf_dir)).drop("kept_text")
