@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import decontaminate, exact_dedup, near_dedup, substring_dedup
+from tracklore.llm import decontaminate, exact_dedup, language_id, near_dedup, substring_dedup
 from tracklore.llm.text_arrays import documents
 
 QUERIES = {}
@@ -45,6 +45,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(documents(spark, sf_dir), carry=["doc_id"])
+    return found.select("doc.doc_id", "held_out", "lang_pred", "score")
+
+
 ORACLES = {
     "op1_decontamination": r"""
         WITH docs AS (
