@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import decontaminate, exact_dedup, language_id, near_dedup, substring_dedup
+from tracklore.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, substring_dedup
 from tracklore.llm.text_arrays import documents
 
 QUERIES = {}
 
 
+def vocabulary_path(name: str) -> str:
+    """Where the installed public vocabulary files lie; nothing of them is copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(run):
     QUERIES[run.__name__] = run
     return run
@@ -45,6 +52,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
 
+@query
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path("byte_bpe_50k.json")
+    found = bpe.encode(documents(spark, sf_dir), path, carry=["doc_id"], with_ids=False)
+    return found.select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(documents(spark, sf_dir), carry=["doc_id"])
