@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklore.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, substring_dedup
+from tracklore.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    near_dedup,
+    substring_dedup,
+    token_shards,
+)
 from tracklore.llm.text_arrays import documents
+from tracklore.session import new_stage_path
 
 QUERIES = {}
 
@@ -65,6 +74,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    path = new_stage_path(spark, "token_shards")
+    token_shards.write_shards(docs, vocabulary_path("word_bpe_49k.json"), path)
+    return token_shards.read_documents(spark, path, docs.schema["doc_id"].dataType.simpleString())
+
+
 ORACLES = {
     "op1_decontamination": r"""
         WITH docs AS (
