@@ -42,6 +42,7 @@ from tracklore.llm.text_arrays import (
     binaries,
     flat,
     hasher,
+    mix,
     prepare,
     ragged,
     spaces,
@@ -51,7 +52,7 @@ from tracklore.llm.text_arrays import (
 WINDOW = 50
 MAX_CELLS = 1 << 28
 _LOAD = 0.25
-_BUCKET_BYTES = 8 << 20
+_BUCKET_BYTES = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -119,7 +120,7 @@ def emit_windows(plan: Plan, number: int, sketch):
             at, keys, _ = representatives(hashes, word_offsets, plan)
             keep = in_slice(keys, plan, number)
             keep[keep] = count_min.reached(sketch.value, keys[keep], plan.cells)
-            at = at[keep]
+            at, keys = at[keep], keys[keep]
             if not len(at):
                 continue
             h1 = hasher(42).windows(hashes, plan.window)[at]
@@ -127,11 +128,12 @@ def emit_windows(plan: Plan, number: int, sketch):
             ref = (np.searchsorted(word_offsets, at, "right") - 1).astype(np.int32)
             ids = batch.column("k").to_numpy(zero_copy_only=False)
             order = np.lexsort((ids[ref], h2, h1))
-            h1, h2, ref, at = h1[order], h2[order], ref[order], at[order]
+            h1, h2, ref, at, keys = h1[order], h2[order], ref[order], at[order], keys[order]
             new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             group = np.cumsum(new) - 1
             least = ids[ref[np.flatnonzero(new)]][group]
-            bucket = np.where(ids[ref] > least, -1, (h1 % U64(plan.buckets)).astype(np.int64))
+            # Neighbouring windows share a representative, hence a bucket.
+            bucket = np.where(ids[ref] > least, -1, (mix(keys) % U64(plan.buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             bucket, h1, h2, ref = bucket[order], h1[order], h2[order], ref[order]
             place = (at[order] - word_offsets[ref]).astype(np.int32)
