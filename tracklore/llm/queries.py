@@ -13,6 +13,7 @@ from tracklore.llm import (
     near_dedup,
     substring_dedup,
     token_shards,
+    toxicity,
 )
 from tracklore.llm.text_arrays import documents
 from tracklore.session import new_stage_path
@@ -56,6 +57,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(documents(spark, sf_dir)).drop("kept_text")
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.score(documents(spark, sf_dir), labels, carry=["doc_id"])
+    return found.select("doc.doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
