@@ -11,6 +11,7 @@ from tracklore.llm import (
     exact_dedup,
     language_id,
     near_dedup,
+    private_data,
     substring_dedup,
     token_shards,
     toxicity,
@@ -57,6 +58,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(documents(spark, sf_dir)).drop("kept_text")
 
 
+@query
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private(documents(spark, sf_dir), carry=["doc_id"])
+    return found.select("doc.doc_id", *[f"n_{k}" for k in private_data.KINDS], "base_sha256", "spans")
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

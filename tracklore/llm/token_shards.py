@@ -36,6 +36,9 @@ from tracklore.llm.wavelet import WaveletMatrix
 END_ID = 2
 PARTITION_BYTES = 16 << 20
 _CACHED_RUNS = 400_000
+# A run that is one id by itself; runs without it can't have that id.
+_SEPARATOR = b"0"
+_TOGETHER = 200
 _PARTITIONS_TOGETHER = 1024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # Between an ASCII letter and such a sign there is always a boundary, as at white space.
@@ -53,6 +56,8 @@ class RunEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits = max(1, (max(self.tokenizer.get_vocab(True).values())).bit_length())
+        sign = self._ids([_SEPARATOR.decode()])[0]
+        self.separator = int(sign[0]) if len(sign) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -60,16 +65,31 @@ class RunEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.cuts = np.zeros(1, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, runs: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast(
-            [r.decode("utf-8", "replace") for r in runs], add_special_tokens=False
-        )
-        ids = [e.ids for e in found]
+        """Most runs are encoded many at a time, a sign between them that none of them holds."""
+        alone = [r for r in runs if _SEPARATOR in r or b"<|" in r]
+        together = [r for r in runs if _SEPARATOR not in r and b"<|" not in r] if self.separator is not None else []
+        alone = alone if self.separator is not None else runs
+        between = b" " + _SEPARATOR + b" "
+        joined = [
+            between.join(together[i : i + _TOGETHER]).decode("utf-8", "replace")
+            for i in range(0, len(together), _TOGETHER)
+        ]
+        found, lengths = [], []
+        for ids in self._ids(joined):
+            at = np.flatnonzero(ids == self.separator)
+            lengths.append(np.diff(np.r_[-1, at, len(ids)]) - 1)
+            found.append(ids[ids != self.separator])
+        for ids in self._ids([r.decode("utf-8", "replace") for r in alone]):
+            lengths.append(np.array([len(ids)]))
+            found.append(ids)
+        runs = together + alone
         self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs))))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(lengths)])
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(np.concatenate(lengths))])
+        self.ids = np.concatenate([self.ids, *found])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text)."""
