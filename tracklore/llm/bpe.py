@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklore.llm.text_arrays import batches, prepare, ragged
 
@@ -290,5 +291,5 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str]
         "doc", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")
     ).schema
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return rows.mapInArrow(encode_batches(shared, with_ids), schema)
