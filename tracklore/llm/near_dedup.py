@@ -12,9 +12,10 @@ at a Jaccard similarity of 0.75 or more and grouped into connected components.
    held by one class only make no list, the very common come last.
 3. In each list all classes are first compared with its first member. Pairs whose estimate
    from the sketch of their union is clearly too low go; the others are compared exactly
-   on their full sets. Lists whose members are then in different components are compared
-   again pair by pair across components only, so that no link is lost and large groups of
-   alike texts never make all their pairs.
+   on their full sets. Lists whose members are then in different components get another
+   leader, drawn by a hash, as long as that links enough; then they are compared pair by
+   pair, across components only, so that no link is lost and large groups of alike texts
+   never make all their pairs.
 4. Components by star contraction; each class takes its component to all its texts.
 
 Defined cases: a text of fewer than five words has one shingle of all its words; one
@@ -46,6 +47,13 @@ _SHARED = 28
 # Pairs estimated below this are not linked, but for a chance below 1e-6.
 _ESTIMATE = 0.5
 _COMMON = 32
+# Rounds of comparing open lists with a leader, and one in how many pairs must be linked
+# for another round to be worth its while; what is left is compared pair by pair.
+_ROUNDS = 3
+_WORTHWHILE = 100
+_BLOCK = 8192
+_TILE = 1024
+_COLUMNS = 4096
 _MAX_CELLS = 1 << 26
 
 
@@ -202,9 +210,21 @@ def exact_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(picked), batch.column("b").take(picked)], ["a", "b"])
 
 
+def _members(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(class, members): the full sets of ``nodes`` (class), from a pass over the texts."""
+    wanted = stage(nodes.join(classes.select("class", "digest"), "class"), "wanted_sets")
+    cells = count_min.cells_for(wanted.count(), 0.25, _MAX_CELLS)
+    bits = count_min.merged(
+        wanted.select("digest").mapInArrow(digest_counts(cells), count_min.PARTIAL), cells, thresholds=(1,)
+    )
+    full = texts.select("text").mapInArrow(
+        set_batches(cells, texts.sparkSession.sparkContext.broadcast(bits)), "digest binary, members binary"
+    )
+    return stage(full.join(wanted, "digest").groupBy("class").agg(F.first("members").alias("members")), "members")
+
+
 def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) that are linked, judged on full sets."""
-    spark = texts.sparkSession
     sketches = classes.select("class", "sketch")
     likely = stage(
         pairs.join(sketches.toDF("b", "sketch_b"), "b")
@@ -213,18 +233,7 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         .mapInArrow(estimate_batches, "a long, b long"),
         "likely_pairs",
     )
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = stage(nodes.join(classes.select("class", "digest"), "class"), "wanted_sets")
-    cells = count_min.cells_for(wanted.count(), 0.25, _MAX_CELLS)
-    bits = count_min.merged(
-        wanted.select("digest").mapInArrow(digest_counts(cells), count_min.PARTIAL), cells, thresholds=(1,)
-    )
-    full = texts.select("text").mapInArrow(
-        set_batches(cells, spark.sparkContext.broadcast(bits)), "digest binary, members binary"
-    )
-    members = stage(
-        full.join(wanted, "digest").groupBy("class").agg(F.first("members").alias("members")), "wanted_members"
-    )
+    members = _members(texts, classes, likely.select(F.explode(F.array("a", "b")).alias("class")).distinct())
     return stage(
         likely.join(members.toDF("b", "set_b"), "b")
         .join(members.toDF("a", "set_a"), "a")
@@ -238,6 +247,115 @@ def _similar_sizes(x: str, y: str) -> F.Column:
     return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
 
+def _join_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links."""
+    edges = links.toDF("u", "v")
+    return stage(components(edges if found is None else edges.union(found.toDF("u", "v"))), "components")
+
+
+def _open_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries, with components, of lists whose members are not all in one component."""
+    placed = entries.join(found.withColumnRenamed("node", "class"), "class", "left")
+    placed = stage(placed.withColumn("component", F.coalesce("component", "class")), "placed_entries")
+    apart = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    return stage(placed.join(apart.select("value"), "value", "left_semi"), "open_entries")
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``."""
+    counts = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets_ in (left, right):
+        owner = np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
+        sides.append((owner, np.concatenate(sets_) if sets_ else np.zeros(0, np.uint32)))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    for at in range(0, len(common), _COLUMNS):
+        columns = common[at : at + _COLUMNS]
+        matrices = []
+        for (owner, values), n in zip(sides, (len(left), len(right))):
+            place = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+            there = columns[place] == values
+            matrix = np.zeros((n, len(columns)), np.float32)
+            matrix[owner[there], place[there]] = 1
+            matrices.append(matrix)
+        counts += matrices[0] @ matrices[1].T
+    return counts
+
+
+def compare_list(table: pa.Table) -> pa.Table:
+    """Likely links (a, b) across the components of one list (or of two blocks of it).
+
+    All pairs are judged at once by products of indicator matrices, in tiles, and only
+    likely links leave the task. A pair that shares several lists is judged in that of its
+    least shared value alone.
+    """
+    column = lambda name: table.column(name).to_numpy()
+    value = table.column("value")[0].as_py()
+    classes, n, component, block = column("class"), column("n"), column("component"), column("block")
+    members = [np.frombuffer(x, np.uint32) for x in table.column("members").to_pylist()]
+    listed = [np.array(x, np.int64) for x in table.column("listed").to_pylist()]
+    earlier = [x[x < value] for x in listed]
+    rows, cols = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    found_a, found_b = [], []
+    for i in range(0, len(rows), _TILE):
+        for j in range(0, len(cols), _TILE):
+            x, y = rows[i : i + _TILE], cols[j : j + _TILE]
+            small, large = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
+            mask = (component[x][:, None] != component[y]) & (classes[x][:, None] < classes[y]) & (4 * small >= 3 * large)
+            if block.min() != block.max():
+                mask = (component[x][:, None] != component[y]) & (4 * small >= 3 * large)
+            if mask.any():
+                mask &= _shared_counts([earlier[k] for k in x], [earlier[k] for k in y]) == 0
+            if not mask.any():
+                continue
+            if mask.sum() * 50 < mask.size:
+                p, q = np.nonzero(mask)
+                shared = [len(np.intersect1d(members[x[k]], members[y[l]], True)) for k, l in zip(p, q)]
+                shared = np.array(shared)
+            else:
+                counts = _shared_counts([members[k] for k in x], [members[k] for k in y])
+                p, q = np.nonzero(mask)
+                shared = counts[p, q]
+            # One more, as two of a set's values may have met when they were shortened.
+            good = 100 * (shared + 1) >= 75 * (n[x[p]] + n[y[q]] - shared - 1)
+            found_a.append(classes[x[p[good]]])
+            found_b.append(classes[y[q[good]]])
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    a, b = join(found_a), join(found_b)
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def shorten(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with each hash cut to 32 bits."""
+    for batch in batches(source):
+        raw, cuts = flat(batch.column("members"))
+        values = (np.frombuffer(raw.tobytes(), U64) >> U64(32)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([batch.column("class"), binaries(values, cuts // 8)], ["class", "members"])
+
+
+def _across(texts: DataFrame, classes: DataFrame, opened: DataFrame) -> DataFrame:
+    """Likely links (a, b) between members of one list in different components.
+
+    Lists longer than ``_BLOCK`` are cut into blocks, a task for every two of them.
+    """
+    nodes = stage(opened.select("class").distinct(), "open_classes")
+    members = _members(texts, classes, nodes).mapInArrow(shorten, "class long, members binary")
+    own = opened.groupBy("class").agg(F.collect_list("value").alias("listed"))
+    sizes = opened.groupBy("value").agg(F.count("*").alias("held")).filter(F.col("held") > _BLOCK)
+    full = opened.join(sizes, "value", "left").join(own, "class").join(members, "class")
+    blocks = F.ceil(F.coalesce("held", F.lit(1)) / _BLOCK).cast("int")
+    full = full.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("class"), "blocks")).drop("held")
+    one = full.filter("blocks = 1").withColumn("other", F.lit(0))
+    many = full.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (
+        one.unionByName(many)
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .groupBy("value", "low", "high")
+        .applyInArrow(compare_list, "a long, b long")
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key), one row per row of ``docs``."""
     spark = prepare(docs.sparkSession)
@@ -284,27 +402,32 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         "star_pairs",
     )
     links = _links(texts, classes, stars)
-    found = stage(components(links.toDF("u", "v")), "components")
-
-    # Lists whose members are still apart: every pair across components.
-    placed = entries.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class")
-    )
-    placed = stage(placed, "placed_entries")
-    apart = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    open_lists = stage(placed.join(apart.select("value"), "value", "left_semi"), "open_entries")
-    one, two = open_lists.alias("one"), open_lists.alias("two")
-    across = one.join(
-        two,
-        (F.col("one.value") == F.col("two.value"))
-        & (F.col("one.class") < F.col("two.class"))
-        & (F.col("one.component") != F.col("two.component"))
-        & _similar_sizes("one.n", "two.n"),
-    ).select(F.col("one.class").alias("a"), F.col("two.class").alias("b"))
-    more = stage(across.distinct().join(stars, ["a", "b"], "left_anti"), "cross_pairs")
+    found = _join_components(None, links)
+    tested = stars
+    for number in range(_ROUNDS):
+        opened = _open_lists(entries, found)
+        leaders = opened.groupBy("value").agg(
+            F.min(F.struct(F.xxhash64("value", "class", F.lit(number)), "class", "n", "component")).alias("first"),
+            F.count("*").alias("members"),
+        )
+        pairs = (
+            join_groups(opened, stage(leaders, "list_leaders"), "value", "members", opened.count())
+            .filter(F.col("component") != F.col("first.component"))
+            .filter(_similar_sizes("n", "first.n"))
+            .select(F.least("class", "first.class").alias("a"), F.greatest("class", "first.class").alias("b"))
+            .distinct()
+        )
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "leader_pairs")
+        links = _links(texts, classes, pairs)
+        tested = tested.union(pairs)
+        tried, linked = pairs.count(), links.count()
+        if linked:
+            found = _join_components(found, links)
+        if linked * _WORTHWHILE < tried or not tried:
+            break
+    more = stage(_across(texts, classes, _open_lists(entries, found)), "cross_links")
     if not more.isEmpty():
-        links = links.union(_links(texts, classes, more))
-        found = stage(components(links.toDF("u", "v")), "components")
+        found = _join_components(found, _links(texts, classes, more))
 
     named = classes.select("class", "digest", "least", "size").join(
         found.withColumnRenamed("node", "class"), "class", "left"
