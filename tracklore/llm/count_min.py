@@ -89,7 +89,7 @@ def merged(partials: DataFrame, cells: int, thresholds: Sequence[int] = (2,)) ->
     )
     size = ROWS * cells // _BLOCKS // 8
     out = np.zeros((len(thresholds), _BLOCKS, size), np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():  # bounded: one bit a cell and threshold
         out[:, row.block] = np.frombuffer(row.bits, np.uint8).reshape(len(thresholds), size)
     return list(out.reshape(len(thresholds), -1))
 
