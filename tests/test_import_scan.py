@@ -125,7 +125,7 @@ def test_discovery(spark, tmp_path):
         (True, 1), (False, 0), (1e3, 1000), (-3, 0), (0, 0),
         ("1.9", "invalid_duration"), ("", "invalid_duration"), ("x", "invalid_duration"),
         ([], "invalid_duration"), ({}, "invalid_duration"), (10**12, "invalid_duration"),
-        (10**30, "invalid_duration"), (None, "missing_duration"), ("absent", "missing_duration"),
+        (10**30, "invalid_duration"), (-(10**30), 0), (-1e16, 0), ("-99999999999999999999", 0), (None, "missing_duration"), ("absent", "missing_duration"),
     ],
 )
 def test_durations(spark, tmp_path, ms, want):

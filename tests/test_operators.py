@@ -254,3 +254,26 @@ def test_nested_keys_go_at_every_level(spark):
     out = drop_nested_keys(df, {"secret"})
     row = out.first().asDict(recursive=True)
     assert row == {"id": 1, "s": {"in": [{"a": 1}]}, "m": {"kept": {"a": 2}}, "n": None}
+
+
+def test_batch_search_leaves_nan_vectors_out(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0])] + [(f"n{i}", [float("nan"), 1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "track_uri string, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.1])], "query_id bigint, vector array<double>")
+    got = search.nearest_batch(df, queries, 3).collect()
+    assert sorted((r.rank, r.track_uri) for r in got) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize(
+    "call",
+    [
+        "java_method('java.lang.System', 'getProperty', 'user.dir')",
+        "`reflect`('java.lang.System', 'getProperty', 'user.dir')",
+        "(SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir'))",
+    ],
+)
+def test_java_methods_are_refused(spark, call):
+    session = adhoc.query_session(spark, lambda s: s.range(3).createOrReplaceTempView("v_listening_history"))
+    with pytest.raises(ValueError):
+        adhoc.structured_query(session, f"SELECT {call} AS x FROM v_listening_history")
+    assert adhoc.structured_query(session, "SELECT 'reflect(' AS x FROM v_listening_history").count() == 3

@@ -148,3 +148,17 @@ def test_nothing_to_import(spark, tmp_path):
     report = import_history(spark, str(tmp_path / "absent"), str(tmp_path / "w"))
     assert set(report.values()) == {0}
     assert open_history(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_view_follows_its_tables(spark, tmp_path):
+    """A stored profile is not used once a table behind it has changed."""
+    root, store = str(tmp_path / "w"), None
+    write(tmp_path, "a.json", [record()])
+    import_history(spark, str(tmp_path / "a.json"), root)
+    store = Warehouse(spark, root)
+    assert store.profile() is not None and open_history(spark, root).count() == 1
+    store.overwrite("artists", store.read("artists"))
+    assert store.profile() is None and open_history(spark, root).count() == 1
+    store.refresh_profile()
+    store.reset()
+    assert store.profile() is None and open_history(spark, root).count() == 0

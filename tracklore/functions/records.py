@@ -11,6 +11,7 @@ from tracklore.functions.timestamps import WHITESPACE
 _EMPTY_JSON = r"^(false|-?0(\.0+)?([eE][+-]?\d+)?|\[\]|\{\})$"
 _INTEGER_TEXT = r"^[+-]?\d+(_\d+)*$"
 _INT_MAX = 2147483647
+_FAR_BELOW = -(10**15)
 
 
 def is_object(record: Column) -> Column:
@@ -30,11 +31,19 @@ def is_wrong_type(value: Column, kind: Column) -> Column:
 
 
 def duration_ms(value: Column, kind: Column) -> Column:
-    """Whole milliseconds, truncated toward zero; NULL when not a number."""
+    """Whole milliseconds, truncated toward zero; NULL when not a number.
+
+    Values too negative for a bigint become one large negative value; they count as no
+    playback like every negative one.
+    """
 
     def from_text(text: Column) -> Column:
         return F.when(
-            text.rlike(_INTEGER_TEXT), F.regexp_replace(text, "_", "").try_cast("bigint")
+            text.rlike(_INTEGER_TEXT),
+            F.coalesce(
+                F.regexp_replace(text, "_", "").try_cast("bigint"),
+                F.when(text.startswith("-"), F.lit(_FAR_BELOW)),
+            ),
         )
 
     number = F.try_variant_get(value, "$", "double")
@@ -43,7 +52,9 @@ def duration_ms(value: Column, kind: Column) -> Column:
         .when(kind == "STRING", from_text(F.btrim(value.cast("string"), F.lit(WHITESPACE))))
         .when(
             kind.rlike("^(DECIMAL|DOUBLE|BOOLEAN)"),
-            F.when(F.abs(number) < F.lit(1e15), F.try_variant_get(value, "$", "bigint")),
+            F.when(number <= F.lit(float(_FAR_BELOW)), F.lit(_FAR_BELOW)).when(
+                number < F.lit(1e15), F.try_variant_get(value, "$", "bigint")
+            ),
         )
     )
 

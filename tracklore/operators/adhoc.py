@@ -15,6 +15,9 @@ from tracklore.functions.sql_text import audit_sql, clean_sql
 from tracklore.session import configure
 
 
+_REFLECTION = "expressions.CallMethodViaReflection"
+
+
 def query_session(spark: SparkSession, publish: Callable[[SparkSession], object]) -> SparkSession:
     """A session of its own in which ``publish`` registers the view and nothing else.
 
@@ -38,8 +41,14 @@ def checked_statement(spark: SparkSession, sql: str) -> str:
 def structured_query(
     spark: SparkSession, sql: str, max_rows: int = fx.QUERY_MAX_ROWS
 ) -> DataFrame:
-    """A checked statement as a DataFrame of at most ``max_rows`` rows."""
-    return spark.sql(checked_statement(spark, sql)).limit(max_rows)
+    """A checked statement as a DataFrame of at most ``max_rows`` rows.
+
+    Calls of Java methods are refused on the analysed plan, whatever their spelling.
+    """
+    result = spark.sql(checked_statement(spark, sql))
+    if _REFLECTION in result._jdf.queryExecution().analyzed().toJSON():
+        raise ValueError("calls of Java methods are not allowed")
+    return result.limit(max_rows)
 
 
 def run_structured_query(

@@ -128,6 +128,7 @@ def nearest_batch(
     usable = embeddings.filter(
         (F.size("embedding") == wanted.shape[1])
         & F.forall("embedding", lambda v: v.isNotNull())
+        & ~F.exists("embedding", lambda v: F.isnan(v))
         & (dot(F.col("embedding"), F.col("embedding")) > 0)
     ).select("track_uri", "embedding")
     partial = usable.mapInArrow(best, schema)

@@ -34,10 +34,13 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
+    def _target(self, name: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return target.getFileSystem(conf).exists(target)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        target, files = self._target(name)
+        return files.exists(target)
 
     def _stored_schema(self, name: str) -> T.StructType:
         text = _SCHEMAS[name] + (f", {MONTH} string" if name == "played_history" else "")
@@ -63,6 +66,8 @@ class Warehouse:
         self._write(name, stage(rows, name), "overwrite")
 
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+        if name not in ("played_history", "play_id_ranges"):
+            self._forget_profile()
         columns = T.StructType.fromDDL(_SCHEMAS[name]).fields
         out = rows.select(
             *[
@@ -101,6 +106,12 @@ class Warehouse:
         """Store the per-track columns of the view, so that queries join plays once."""
         track_profile(self.star()).write.mode("overwrite").parquet(self.path("track_profile"))
 
+    def _forget_profile(self) -> None:
+        """Drop the stored profile before a table behind it changes; until it is stored
+        again the view computes it."""
+        target, files = self._target("track_profile")
+        files.delete(target, True)
+
     def profile(self) -> DataFrame | None:
         if not self.exists("track_profile"):
             return None
