@@ -35,14 +35,15 @@ from tracklore.llm.wavelet import WaveletMatrix
 
 END_ID = 2
 PARTITION_BYTES = 16 << 20
-_CACHED_RUNS = 400_000
+_CACHED_RUNS = 900_000
 # A run that is one id by itself; runs without it can't have that id.
 _SEPARATOR = b"0"
 _TOGETHER = 200
 _PARTITIONS_TOGETHER = 1024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-# Between an ASCII letter and such a sign there is always a boundary, as at white space.
-_SIGN = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
+# Between a letter and such a sign there is always a boundary, as at white space. Letters
+# here: a-z, and the two-byte ones of Western European languages.
+_SIGN = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[.,;:!?])")
 
 
 class RunEncoder:
@@ -114,9 +115,19 @@ class RunEncoder:
 _SHARD = "part int, seq int, n_docs long, n_tokens long, file binary"
 
 
+_ENCODER: list = []
+
+
+def _encoder(spec: str) -> RunEncoder:
+    """The worker's encoder: later partitions find the runs that earlier ones met."""
+    if not _ENCODER or _ENCODER[0] != spec:
+        _ENCODER[:] = [spec, RunEncoder(spec)]
+    return _ENCODER[1]
+
+
 def shard_batches(shared, end_id: int | None):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(shared.value)
+        encoder = _encoder(shared.value)
         for seq, batch in enumerate(batches(source)):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ids, cuts = encoder.encode(texts)
