@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.llm.joins import join_groups
+from tracklore.llm.scratch import dispose
 from tracklore.session import stage
 
 _ROUNDS = 60
@@ -37,9 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = stage(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "sides")
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.filter("u <> v").distinct(), "large")  # u > v
+        dispose(both, edges)
         near = _least_neighbour(large)
         small = near.select("v", "m").union(near.select(F.col("u").alias("v"), "m"))
         edges = stage(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "small")
+        dispose(large)
         after = _state(edges)
         if after == before:
             break

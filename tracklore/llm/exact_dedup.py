@@ -163,10 +163,8 @@ def duplicates(docs: DataFrame, id_col="doc_id", text_col="text", digest_bytes:
 
 def keep_first(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` without rows whose text an earlier row holds; all columns as they are."""
-    chosen = _verdicts(docs, id_col, text_col).filter("kept").select(F.col("id").alias("_id"), "_t")
-    keyed = docs.withColumns({"_t": F.xxhash64(text_col), "_k": F.coalesce(F.hash(id_col), F.lit(0))})
-    chosen = chosen.withColumn("_k", F.coalesce(F.hash("_id"), F.lit(0))).withColumnRenamed("_t", "_u")
-    same = (keyed._t == chosen._u) & (keyed._k == chosen._k) & F.col(id_col).eqNullSafe(F.col("_id"))
-    kept = keyed.join(chosen, same, "left_semi")
-    # Rows equal in id and text are one document.
-    return kept.dropDuplicates([id_col, "_t"]).drop("_t", "_k")
+    chosen = _verdicts(docs, id_col, text_col).filter("kept")
+    chosen = chosen.select(F.struct(F.col("id"), F.col("_t").alias("t")).alias("_k"))
+    keyed = docs.withColumn("_k", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
+    # Rows equal in id and text are one document. One key for both steps: texts move once.
+    return keyed.join(chosen, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")

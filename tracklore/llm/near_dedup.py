@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tracklore.llm import count_min
 from tracklore.llm.components import components
 from tracklore.llm.joins import join_groups
+from tracklore.llm.scratch import dispose
 from tracklore.llm.text_arrays import LOWER, U64, batches, binaries, flat, hasher, prepare, ragged, spaces, words
 from tracklore.session import stage
 
@@ -220,7 +221,10 @@ def _members(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
     full = texts.select("text").mapInArrow(
         set_batches(cells, texts.sparkSession.sparkContext.broadcast(bits)), "digest binary, members binary"
     )
-    return stage(full.join(wanted, "digest").groupBy("class").agg(F.first("members").alias("members")), "members")
+    once = full.groupBy("digest").agg(F.first("members").alias("members"))
+    members = stage(once.join(wanted, "digest").select("class", "members"), "members")
+    dispose(wanted)
+    return members
 
 
 def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -234,13 +238,15 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         "likely_pairs",
     )
     members = _members(texts, classes, likely.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    return stage(
+    links = stage(
         likely.join(members.toDF("b", "set_b"), "b")
         .join(members.toDF("a", "set_a"), "a")
         .select("a", "b", "set_a", "set_b")
         .mapInArrow(exact_batches, "a long, b long"),
         "links",
     )
+    dispose(likely, members)
+    return links
 
 
 def _similar_sizes(x: str, y: str) -> F.Column:
@@ -248,9 +254,11 @@ def _similar_sizes(x: str, y: str) -> F.Column:
 
 
 def _join_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, component) after more links."""
+    """(node, component) after more links, which go with the components so far."""
     edges = links.toDF("u", "v")
-    return stage(components(edges if found is None else edges.union(found.toDF("u", "v"))), "components")
+    joined = stage(components(edges if found is None else edges.union(found.toDF("u", "v"))), "components")
+    dispose(links, *([] if found is None else [found]))
+    return joined
 
 
 def _open_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -258,7 +266,9 @@ def _open_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
     placed = entries.join(found.withColumnRenamed("node", "class"), "class", "left")
     placed = stage(placed.withColumn("component", F.coalesce("component", "class")), "placed_entries")
     apart = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    return stage(placed.join(apart.select("value"), "value", "left_semi"), "open_entries")
+    opened = stage(placed.join(apart.select("value"), "value", "left_semi"), "open_entries")
+    dispose(placed)
+    return opened
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -339,7 +349,8 @@ def _across(texts: DataFrame, classes: DataFrame, opened: DataFrame) -> DataFram
     Lists longer than ``_BLOCK`` are cut into blocks, a task for every two of them.
     """
     nodes = stage(opened.select("class").distinct(), "open_classes")
-    members = _members(texts, classes, nodes).mapInArrow(shorten, "class long, members binary")
+    whole = _members(texts, classes, nodes)
+    members = whole.mapInArrow(shorten, "class long, members binary")
     own = opened.groupBy("class").agg(F.collect_list("value").alias("listed"))
     sizes = opened.groupBy("value").agg(F.count("*").alias("held")).filter(F.col("held") > _BLOCK)
     full = opened.join(sizes, "value", "left").join(own, "class").join(members, "class")
@@ -347,13 +358,16 @@ def _across(texts: DataFrame, classes: DataFrame, opened: DataFrame) -> DataFram
     full = full.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("class"), "blocks")).drop("held")
     one = full.filter("blocks = 1").withColumn("other", F.lit(0))
     many = full.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return (
+    found = (
         one.unionByName(many)
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         .groupBy("value", "low", "high")
         .applyInArrow(compare_list, "a long, b long")
         .distinct()
     )
+    found = stage(found, "cross_links")
+    dispose(nodes, whole)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -401,6 +415,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         .distinct(),
         "star_pairs",
     )
+    dispose(firsts)
     links = _links(texts, classes, stars)
     found = _join_components(None, links)
     tested = stars
@@ -410,14 +425,16 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
             F.min(F.struct(F.xxhash64("value", "class", F.lit(number)), "class", "n", "component")).alias("first"),
             F.count("*").alias("members"),
         )
+        leaders = stage(leaders, "list_leaders")
         pairs = (
-            join_groups(opened, stage(leaders, "list_leaders"), "value", "members", opened.count())
+            join_groups(opened, leaders, "value", "members", opened.count())
             .filter(F.col("component") != F.col("first.component"))
             .filter(_similar_sizes("n", "first.n"))
             .select(F.least("class", "first.class").alias("a"), F.greatest("class", "first.class").alias("b"))
             .distinct()
         )
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "leader_pairs")
+        dispose(opened, leaders)
         links = _links(texts, classes, pairs)
         tested = tested.union(pairs)
         tried, linked = pairs.count(), links.count()
@@ -425,7 +442,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
             found = _join_components(found, links)
         if linked * _WORTHWHILE < tried or not tried:
             break
-    more = stage(_across(texts, classes, _open_lists(entries, found)), "cross_links")
+    opened = _open_lists(entries, found)
+    dispose(entries)
+    more = _across(texts, classes, opened)
+    dispose(opened)
     if not more.isEmpty():
         found = _join_components(found, _links(texts, classes, more))
 
@@ -433,6 +453,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         found.withColumnRenamed("node", "class"), "class", "left"
     )
     named = stage(named.withColumn("component", F.coalesce("component", "class")), "named_classes")
+    dispose(classes, found)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     named = join_groups(named, stage(least, "component_ids"), "component", "members", named.count())
     named = stage(named.select("digest", "component_id", "size"), "class_components")
@@ -450,8 +471,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 def keep_representatives(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with the first document of each group of near duplicates; all columns."""
     kept = near_duplicates(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_u")
+        F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("t")).alias("_k")
     )
-    keyed = docs.withColumn("_t", F.xxhash64(text_col))
-    same = (keyed._t == kept._u) & F.col(id_col).eqNullSafe(F.col("_id"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "_t"]).drop("_t")
+    keyed = docs.withColumn("_k", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
+    return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")

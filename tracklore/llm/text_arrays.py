@@ -26,6 +26,8 @@ def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession
     """Session settings that the operators here rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    # Shuffle files go when their query ends, not when the driver happens to collect garbage.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
