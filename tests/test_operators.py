@@ -264,6 +264,14 @@ def test_batch_search_leaves_nan_vectors_out(spark):
     assert sorted((r.rank, r.track_uri) for r in got) == [(1, "a"), (2, "b")]
 
 
+def test_batch_search_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "track_uri string, embedding array<double>")
+    queries = spark.range(10).selectExpr("id AS query_id", "array(1.0D, double(id) / 4) AS vector")
+    got = {r.query_id: r.track_uri for r in search.nearest_batch(df, queries, 1).collect()}
+    assert got == {i: "a" if i <= 4 else "b" for i in range(10)}
+
+
 @pytest.mark.parametrize(
     "call",
     [

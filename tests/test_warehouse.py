@@ -34,7 +34,7 @@ def loaded(spark, tmp_path_factory):
     root = str(base / "warehouse")
     report = import_history(
         spark, str(exports), root,
-        features=features_of(spark, ["f1", "f1", "f2", "unknown", "", None]),
+        features=features_of(spark, ["k1", "k1", "k2", "unknown", "", None]),
         encoder=hashing_encoder(),
     )
     return exports, root, report
@@ -42,40 +42,40 @@ def loaded(spark, tmp_path_factory):
 
 def test_report(loaded):
     assert loaded[2] == {
-        "records_read": 13,
-        "tracks": 8,
-        "artists": 6,
-        "plays": 10,
-        "feature_candidates": 8,
+        "records_read": 16,
+        "tracks": 9,
+        "artists": 5,
+        "plays": 12,
+        "feature_candidates": 9,
         "features_upserted": 2,
-        "embedding_candidates": 8,
-        "embeddings_upserted": 8,
+        "embedding_candidates": 9,
+        "embeddings_upserted": 9,
     }
 
 
 def test_ids_are_dense_and_key_is_unique(spark, loaded):
     plays = Warehouse(spark, loaded[1]).star().played_history
-    assert sorted(r.id for r in plays.collect()) == list(range(1, 11))
+    assert sorted(r.id for r in plays.collect()) == list(range(1, 13))
     assert quality.duplicate_keys(plays, ["track_uri", "played_at"]).count() == 0
     assert quality.all_orphans(Warehouse(spark, loaded[1]).star()).count() == 0
 
 
 def test_view_over_the_warehouse(spark, loaded):
     view = {(r.track_uri, str(r.played_at)): r for r in open_history(spark, loaded[1]).collect()}
-    assert len(view) == 10
-    row = view[("spotify:track:f1", "2025-01-02 10:30:00")]
-    assert (row.track_title, row.artist_names, row.tempo) == ("Glass Harbour", "North Arcade", 120.0)
-    assert str(row.played_time_seconds) == "182.000"
+    assert len(view) == 12
+    row = view[("spotify:track:k1", "2023-03-31 07:05:09")]
+    assert (row.track_title, row.artist_names, row.tempo) == ("Slow Ferry", "Ines Mar", 120.0)
+    assert str(row.played_time_seconds) == "64.250"
     assert row.duration_seconds is None and row.artist_genres is None
-    assert view[("spotify:track:no_artist", "2025-01-02 14:00:00")].artist_names == "Unknown Artist"
+    assert view[("spotify:track:k3", "2023-03-31 21:55:00")].artist_names == "Unknown Artist"
 
 
 def test_search_by_text(spark, loaded):
     star = Warehouse(spark, loaded[1]).star()
-    question = encode_question(spark, "glass harbour by north arcade", hashing_encoder())
+    question = encode_question(spark, "slow ferry. by ines mar.", hashing_encoder())
     hits = search.semantic_search(star, question, k=3).collect()
-    assert len(hits) == 3 and hits[0].track == "Glass Harbour"
-    assert hits[0].artists == ["North Arcade"] and hits[0].artist_genres == []
+    assert len(hits) == 3 and hits[0].track == "Slow Ferry"
+    assert hits[0].artists == ["Ines Mar"] and hits[0].artist_genres == []
 
 
 def test_second_import_adds_nothing_then_only_what_is_new(spark, loaded, tmp_path):
@@ -83,20 +83,20 @@ def test_second_import_adds_nothing_then_only_what_is_new(spark, loaded, tmp_pat
     again = import_history(spark, str(exports), root, encoder=hashing_encoder())
     for key in ("tracks", "artists", "plays"):
         assert again[key] == first[key]
-    assert again["feature_candidates"] == 6 and again["embeddings_upserted"] == 0
+    assert again["feature_candidates"] == 7 and again["embeddings_upserted"] == 0
     titles = {r.uri: r.title for r in Warehouse(spark, root).read("tracks").collect()}
     write(tmp_path, "n.json", [
-        record("2025-02-01T00:00:00Z", "spotify:track:f1", "Another title", "North Arcade"),
+        record("2025-02-01T00:00:00Z", "spotify:track:k1", "Another title", "Ines Mar"),
         record("2025-02-01T01:00:00Z", "spotify:track:new", "New", "Someone"),
     ])
     third = import_history(spark, str(tmp_path), root, features=features_of(spark, ["new"]))
-    assert (third["tracks"], third["plays"], third["features_upserted"]) == (9, 12, 1)
+    assert (third["tracks"], third["plays"], third["features_upserted"]) == (10, 14, 1)
     assert third["embedding_candidates"] == 1 and third["embeddings_upserted"] == 0
     after = {r.uri: r.title for r in Warehouse(spark, root).read("tracks").collect()}
     assert {**titles, "spotify:track:new": "New"} == after
     ids = [r.id for r in Warehouse(spark, root).read("played_history").collect()]
-    assert sorted(ids) == list(range(1, 13))
-    assert open_history(spark, root).count() == 12
+    assert sorted(ids) == list(range(1, 15))
+    assert open_history(spark, root).count() == 14
 
 
 def test_reset_starts_over(spark, loaded, tmp_path):
@@ -141,7 +141,7 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     stream_history(spark, str(exports), root, str(tmp_path / "c2")).awaitTermination()
     warehouse = Warehouse(spark, root)
     counts = [warehouse.read(n).count() for n in ("tracks", "artists", "track_artists", "played_history")]
-    assert counts == [8, 6, 7, 10]
+    assert counts == [9, 5, 8, 12]
 
 
 def test_nothing_to_import(spark, tmp_path):

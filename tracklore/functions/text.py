@@ -92,7 +92,7 @@ def artist_uri(name: Column, collision_safe: bool = False) -> Column:
 
 def track_id(uri: Column) -> Column:
     """External id inside a track URI; NULL for local or foreign URIs."""
-    rest = F.substring(uri, len(fx.TRACK_URI_PREFIX) + 1, fx.TEXT_LENGTH * 1000)
+    rest = F.substr(uri, F.lit(len(fx.TRACK_URI_PREFIX) + 1))
     usable = uri.startswith(fx.TRACK_URI_PREFIX) & (rest != "") & ~rest.startswith(fx.LOCAL_ID_PREFIX)
     return F.when(usable, rest)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -14,9 +16,10 @@ from tracklore.functions.vectors import distance_to, dot
 from tracklore.operators.skew import broadcast_rows
 from tracklore.plans.history_view import track_credits
 from tracklore.schema import Star
+from tracklore.session import stage
 
-# Query vectors travel to every task; this bounds what is sent.
-MAX_QUERIES = 4096
+# Query vectors travel to every task; this bounds what a pass over the embeddings sends.
+QUERY_BLOCK = 4096
 
 
 def nearest(embeddings: DataFrame, vector: list[float], k: int = fx.SEARCH_K) -> DataFrame:
@@ -25,12 +28,16 @@ def nearest(embeddings: DataFrame, vector: list[float], k: int = fx.SEARCH_K) ->
     One scan of two columns; each task keeps its own ``k`` best. Distances without a
     value (zero or missing vectors) come last. Ties, up to rounding noise, go by URI.
     """
+    return _closest(_distances(embeddings, vector)).limit(k)
+
+
+def _distances(embeddings: DataFrame, vector: list[float]) -> DataFrame:
     distance = distance_to(F.col("embedding"), vector)
-    return (
-        embeddings.select("track_uri", distance.alias("cosine_distance"))
-        .orderBy(F.round("cosine_distance", 12).asc_nulls_last(), "track_uri")
-        .limit(k)
-    )
+    return embeddings.select("track_uri", distance.alias("cosine_distance"))
+
+
+def _closest(distances: DataFrame) -> DataFrame:
+    return distances.orderBy(F.round("cosine_distance", 12).asc_nulls_last(), "track_uri")
 
 
 def with_metadata(hits: DataFrame, star: Star, k: int) -> DataFrame:
@@ -71,13 +78,16 @@ def with_metadata(hits: DataFrame, star: Star, k: int) -> DataFrame:
 
 
 def semantic_search(star: Star, vector: list[float], k: int = fx.SEARCH_K) -> DataFrame:
-    """The ``k`` nearest tracks with their metadata, nearest first."""
-    known = star.embeddings.join(
+    """The ``k`` nearest tracks with their metadata, nearest first.
+
+    Distances are computed where the vectors lie; only they meet the tracks. The hits are
+    written once, as three joins read them.
+    """
+    known = _distances(star.embeddings, vector).join(
         star.tracks.select(F.col("uri").alias("track_uri")), "track_uri", "left_semi"
     )
-    return with_metadata(nearest(known, vector, k), star, k).orderBy(
-        F.round("cosine_distance", 12).asc_nulls_last(), "track_uri"
-    )
+    hits = stage(_closest(known).limit(k), "hits")
+    return _closest(with_metadata(hits, star, k))
 
 
 def nearest_batch(
@@ -85,18 +95,25 @@ def nearest_batch(
 ) -> DataFrame:
     """The ``k`` nearest tracks of each query, ranked.
 
-    ``queries`` (query_id bigint, vector array<float>) holds at most ``MAX_QUERIES``
-    rows; more is refused, to be sent as several calls. Each Arrow batch of embeddings
-    is compared with all queries in one matrix product and reduced to ``k`` rows per
+    ``queries`` (query_id bigint, vector array<float>) may hold any number of rows: they
+    are taken in blocks of about ``QUERY_BLOCK``, by a hash of their id, with a pass over
+    the embeddings each. Each Arrow batch of embeddings is compared with all queries in one matrix product and reduced to ``k`` rows per
     query on the spot, so no list of pairs is ever formed; the survivors are reduced
     once more per bucket and then per query. Vectors without a distance are left out.
     """
-    rows = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per call")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(
+        DataFrame.unionByName,
+        [_nearest_block(embeddings, queries.filter(block == b), k) for b in range(blocks)],
+    )
+
+
+def _nearest_block(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("query_id", "vector").collect()
     schema = "query_id long, track_uri string, cosine_distance double"
     if not rows:
-        return embeddings.sparkSession.createDataFrame([], schema)
+        return embeddings.sparkSession.createDataFrame([], schema + ", rank int")
     ids = [r["query_id"] for r in rows]
     wanted = np.asarray([r["vector"] for r in rows], dtype="float64")
     wanted = wanted / np.linalg.norm(wanted, axis=1, keepdims=True)

@@ -338,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
     star("rank_in_period",
          "SELECT period, track_uri, plays, rank() OVER (PARTITION BY period ORDER BY plays DESC) AS rank "
          "FROM (SELECT date_trunc('day', played_at)::TIMESTAMP AS period, track_uri, count(*) AS plays "
-         "FROM t_plays GROUP BY 1, 2)")
+         "FROM t_plays WHERE track_uri IN (SELECT uri FROM t_tracks) GROUP BY 1, 2)")
     star("topn_by_period",
          f", top AS ({_TOP.format(n=10)}) "
          "SELECT p.track_uri, top.track_title, date_trunc('day', p.played_at)::TIMESTAMP AS period, "

@@ -162,7 +162,9 @@ def top_tracks(spark, sf_dir):
 
 @query
 def rank_in_period(spark, sf_dir):
-    return reports.rank_in_period(adapters.played_history(spark, sf_dir), "day")
+    return reports.rank_in_period(
+        adapters.played_history(spark, sf_dir), adapters.tracks(spark, sf_dir), "day"
+    )
 
 
 @query

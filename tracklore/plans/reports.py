@@ -90,14 +90,16 @@ def topn_by_period(plays: DataFrame, tracks: DataFrame, n: int, period: str) ->
     )
 
 
-def rank_in_period(plays: DataFrame, period: str) -> DataFrame:
-    """Rank of every track by plays within its period, ties sharing a rank.
+def rank_in_period(plays: DataFrame, tracks: DataFrame, period: str) -> DataFrame:
+    """Rank of every known track by plays within its period, ties sharing a rank.
 
     A window over a period would sort all its tracks in one task. A rank only depends
     on how many tracks have more plays, so tracks are counted per distinct play count
     first; the window then runs over those few rows per period.
     """
+    known = tracks.select(F.col("uri").alias("track_uri"))
     per_track = plays_per_track(plays.filter(F.col("track_uri").isNotNull()), period)
+    per_track = per_track.join(known, "track_uri", "left_semi")
     levels = per_track.groupBy("period", "plays").agg(F.count("*").alias("tied"))
     up_to_here = F.sum("tied").over(Window.partitionBy("period").orderBy(F.desc("plays")))
     ranks = levels.select("period", "plays", (up_to_here - F.col("tied") + 1).alias("rank"))

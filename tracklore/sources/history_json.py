@@ -7,6 +7,8 @@ array elements that are not objects are passed over.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,23 @@ def read_documents(
     kind = _is_single_file(spark, path)
     if kind is None:
         return spark.createDataFrame([], DOCUMENT_SCHEMA)
-    glob = None if kind else pattern
-    return spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(file_name(), "value")
+    # The files themselves are the paths read, so a sub-folder named like a partition
+    # (year=2024) takes no part.
+    files = _literal(path) if kind else f"{_literal(path)}/{pattern}"
+    if not _matches(spark, files):
+        return spark.createDataFrame([], DOCUMENT_SCHEMA)
+    return spark.read.text(files, wholetext=True).select(file_name(), "value")
+
+
+def _literal(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
+
+
+def _matches(spark: SparkSession, files: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(files)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return any(status.isFile() for status in fs.globStatus(target) or [])
 
 
 def file_name() -> Column:
