@@ -40,6 +40,8 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 _CACHED_PIECES = 400_000
+# A text of n bytes takes many times as much while it is cut and joined, so batches are small.
+BATCH_BYTES = 3 << 20
 _BITS = 20
 
 
@@ -284,7 +286,7 @@ def encode_batches(shared, with_ids: bool):
 def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """``docs`` (as struct ``doc``, or of it the columns in ``carry``) with n_tokens, digests
     of the ids and of the text decoded from them, and with ``with_ids`` both themselves."""
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, BATCH_BYTES)
     shared = spark.sparkContext.broadcast(Vocabulary.load(path))
     rows = docs.select(F.struct(*(carry or docs.columns)).alias("doc"), F.col(text_col).alias("text"))
     schema = rows.select(

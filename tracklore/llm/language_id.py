@@ -39,6 +39,8 @@ _SYMBOLS = 128
 _OTHERS = 101
 _TABLE = 0x33480
 _TEXTS_AT_ONCE = 256
+# Distinct trigrams of a batch are held as float vectors of the whole width.
+BATCH_BYTES = 3 << 20
 
 
 @functools.cache
@@ -185,7 +187,7 @@ def identify(
 ) -> DataFrame:
     """``docs`` (as struct ``doc``, or of it the columns in ``carry``) with held_out,
     lang_pred, score; prototypes come from its own rows that are not held out."""
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, BATCH_BYTES)
     training = docs.filter(~held_out(id_col)).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
