@@ -41,7 +41,8 @@ def test_rank_equals_window_rank(spark):
         (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 100)).alias("played_at"),
         F.lit(1).alias("played_time"),
     )
-    got = reports.rank_in_period(plays, "day")
+    tracks = plays.filter("track_uri IS NOT NULL").select(F.col("track_uri").alias("uri")).distinct()
+    got = reports.rank_in_period(plays, tracks, "day")
     per = reports.plays_per_track(plays.filter("track_uri IS NOT NULL"), "day")
     w = Window.partitionBy("period").orderBy(F.desc("plays"))
     want = per.select("period", "track_uri", "plays", F.rank().over(w).cast("bigint").alias("rank"))
