@@ -10,6 +10,7 @@ from tracklore.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    mixing,
     near_dedup,
     private_data,
     substring_dedup,
@@ -97,6 +98,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_documents(spark, path, docs.schema["doc_id"].dataType.simpleString())
 
 
+@query
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 ORACLES = {
     "op1_decontamination": r"""
         WITH docs AS (
@@ -163,6 +170,43 @@ ORACLES = {
                    AS kept_sha256
         FROM words LEFT JOIN gone_lists USING (doc_id)
     """,
+    "op11_mix_sources": r"""
+        WITH docs AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   CAST('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS h
+            FROM documents
+        ), sources AS (
+            SELECT source, CAST(sum(size) AS HUGEINT) AS total,
+                   [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+            FROM docs GROUP BY source
+        ), filled AS (
+            SELECT *, sum(total) OVER () - coalesce(sum(3 * total) OVER before, 0) AS level,
+                   sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS share,
+                   row_number() OVER (ORDER BY total / weight, source NULLS LAST) AS place
+            FROM sources
+            WINDOW before AS (ORDER BY total / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), water AS (
+            SELECT level AS l, share AS c FROM filled WHERE 3 * total * share >= level * weight ORDER BY place LIMIT 1
+        ), goals AS (
+            SELECT source, CAST(total AS BIGINT) AS source_size,
+                   CASE WHEN 3 * total * c < l * weight THEN CAST(3 * total AS DOUBLE)
+                        ELSE CAST(l * weight AS DOUBLE) / CAST(c AS DOUBLE) END AS target
+            FROM filled, water
+        ), plans AS (
+            SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS passes FROM goals
+        ), hashes AS (
+            SELECT source, h, sum(size) AS held, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS up_to
+            FROM docs WHERE size > 0 GROUP BY source, h
+        ), taken AS (
+            SELECT hashes.source, h, held,
+                   greatest(0, least(held, CAST(floor(target) AS BIGINT) - passes * source_size - (up_to - held))) AS part
+            FROM hashes JOIN plans ON hashes.source IS NOT DISTINCT FROM plans.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(size * passes + coalesce(part * size // held, 0) AS BIGINT) AS taken
+        FROM docs JOIN plans ON docs.source IS NOT DISTINCT FROM plans.source
+        LEFT JOIN taken ON docs.source IS NOT DISTINCT FROM taken.source AND docs.h = taken.h AND docs.size > 0
+    """,
 }
 
 
