@@ -9,6 +9,7 @@ from tracklore.llm import (
     bpe,
     decontaminate,
     exact_dedup,
+    importance,
     language_id,
     mixing,
     near_dedup,
@@ -104,6 +105,12 @@ def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance.resample(documents(spark, sf_dir), target).drop("n_words")
+
+
 ORACLES = {
     "op1_decontamination": r"""
         WITH docs AS (
