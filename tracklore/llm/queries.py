@@ -11,6 +11,7 @@ from tracklore.llm import (
     exact_dedup,
     importance,
     language_id,
+    licenses,
     mixing,
     near_dedup,
     periodic_runs,
@@ -51,6 +52,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    names = F.array_sort(F.array_distinct(F.col("matches.licence")))
+    place = lambda name: lambda x: F.concat_ws(":", x[name], x["start"], x["stop"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join(F.transform("sentences", place("sentence")), ",").alias("sentences"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licences"),
+        F.array_join(licenses.families(names), ",").alias("families"),
+        F.array_join(F.transform("matches", place("licence")), ",").alias("spans"),
+    )
+
+
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("text_key")
