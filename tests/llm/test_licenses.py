@@ -25,9 +25,10 @@ def plain_sentences(text, table):
         edge[i] = bool(re.search("[\n\r\x0b\x0c<>|]", gap) or (re.search("[.;:!?]", gap) and re.search(r"[ \t\n\r\x0b\x0c]", gap)))
     w = [m[0] for m in found]
     known = {tuple(WORD.findall(lower(s))): name for name, s in table}
+    most = max(map(len, known))
     out, i = [], 0
     while i < len(w):
-        ends = [j for j in range(len(w), i, -1) if edge[i] and edge[j] and tuple(w[i:j]) in known] if edge[i] else []
+        ends = [j for j in range(min(len(w), i + most), i, -1) if edge[i] and edge[j] and tuple(w[i:j]) in known] if edge[i] else []
         if ends:
             out.append((known[tuple(w[i : ends[0]])], i, ends[0]))
         i = ends[0] if ends else i + 1
@@ -116,9 +117,11 @@ def test_registered_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: r for r in QUERIES["op2_license_scan"](spark, sf).collect()}
     assert len(got) == len(rows)
-    known = {name.split()[0] for name in ("Licensed", "Released", "This")}
     for i, text in rows:
-        lines = [x for x in (text or "").split("\n") if x.split() and x.split()[0] in known and "licen" in x.lower()]
-        assert (got[i].n_matches > 0) == bool(lines), lines
-        short = "\n".join(lines)
-        assert got[i].licences == ",".join(sorted({m[2] for m in plain_matches(plain_sentences(short, table)[1], rules, 60)}))
+        n, sentences = plain_sentences(text, table)
+        matches = plain_matches(sentences, rules, licenses.MAX_GAP)
+        assert (got[i].n_words, got[i].n_sentences, got[i].n_matches) == (n, len(sentences), len(matches))
+        assert got[i].sentences == ",".join(f"{s}:{a}:{b}" for s, a, b in sentences)
+        assert got[i].licences == ",".join(sorted({m[2] for m in matches}))
+        assert got[i].spans == ",".join(f"{m[2]}:{m[0]}:{m[1]}" for m in matches)
+    assert sum(r.n_matches for r in got.values()) > 0
