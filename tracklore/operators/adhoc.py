@@ -18,17 +18,33 @@ from tracklore.session import configure
 _REFLECTION = "expressions.CallMethodViaReflection"
 
 
-def query_session(spark: SparkSession, publish: Callable[[SparkSession], object]) -> SparkSession:
+def query_session(
+    spark: SparkSession,
+    publish: Callable[[SparkSession], object],
+    version: Callable[[], object] | None = None,
+) -> SparkSession:
     """A session of its own in which ``publish`` registers the view and nothing else.
 
-    Temporary views of the caller are out of reach, and so are files named in FROM.
+    Temporary views of the caller are out of reach, and so are files named in FROM. With
+    ``version`` (Warehouse.version, say) the view is published again before a statement
+    whenever that has changed, so statements see what was loaded meanwhile.
     """
     isolated = configure(spark.newSession())
     isolated.conf.set("spark.sql.runSQLOnFiles", "false")
+    seen = version() if version else None
     publish(isolated)
+    if version:
+        isolated._tracklore_view = [version, seen, publish]
     return isolated
 
 
+def _follow(spark: SparkSession) -> None:
+    view = getattr(spark, "_tracklore_view", None)
+    if view and (now := view[0]()) != view[1]:
+        view[2](spark)
+        view[1] = now
+
+
 def checked_statement(spark: SparkSession, sql: str) -> str:
     """The cleaned statement, or ValueError with the reason it may not run."""
     cleaned = clean_sql(F.lit(sql))
@@ -45,6 +61,7 @@ def structured_query(
 
     Calls of Java methods are refused on the analysed plan, whatever their spelling.
     """
+    _follow(spark)
     result = spark.sql(checked_statement(spark, sql))
     if _REFLECTION in result._jdf.queryExecution().analyzed().toJSON():
         raise ValueError("calls of Java methods are not allowed")

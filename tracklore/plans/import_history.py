@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from tracklore.session import configure, stage
 from tracklore.sources.history_json import read_documents, scan_history
 from tracklore.sources.warehouse import MONTH, Warehouse, month_of
 
+# Session setting that names the warehouse whose view is published.
+_PUBLISHED = "tracklore.published.warehouse"
+
 
 def load_documents(warehouse: Warehouse, documents: DataFrame, collision_safe: bool = False) -> dict:
     """Parse documents and insert what is new, dimensions before plays.
@@ -30,15 +35,19 @@ def load_documents(warehouse: Warehouse, documents: DataFrame, collision_safe: b
         "track_artists": (dimensions.track_artist_rows(plays, collision_safe), ()),
     }
     for name, (rows, order) in loads.items():
-        fresh = new_rows(warehouse.read(name), rows, UNIQUE_KEYS[name], order)
-        warehouse.append(name, stamp(fresh, "updated_at"))
+        warehouse.insert(name, partial(_fresh, rows, UNIQUE_KEYS[name], order))
     load_plays(warehouse, normalise.play_facts(plays))
+    follow(warehouse)
     counts = records.agg(
         F.count("*").alias("records_read"), F.count("reason").alias("records_rejected")
     ).first()
     return counts.asDict()
 
 
+def _fresh(rows: DataFrame, keys, order, stored: DataFrame) -> DataFrame:
+    return stamp(new_rows(stored, rows, keys, order), "updated_at")
+
+
 def load_plays(warehouse: Warehouse, facts: DataFrame) -> int:
     """Insert plays not stored yet; returns how many.
 
@@ -46,14 +55,18 @@ def load_plays(warehouse: Warehouse, facts: DataFrame) -> int:
     months is bounded by the calendar.
     """
     months = [r[0] for r in facts.select(month_of("played_at")).distinct().collect()]
-    stored = warehouse.read("played_history").filter(F.col(MONTH).isin(months))
-    fresh = stage(
-        new_rows(stored, facts, UNIQUE_KEYS["played_history"], SOURCE_ORDER), "new_plays"
-    )
-    count = fresh.count()
-    if count:
-        numbered = dense_play_ids(fresh, after=warehouse.reserve_play_ids(count))
-        warehouse.append("played_history", stamp(numbered, "inserted_at"))
+    count = 0
+
+    def numbered(stored: DataFrame) -> DataFrame | None:
+        nonlocal count
+        known = stored.filter(F.col(MONTH).isin(months))
+        fresh = stage(new_rows(known, facts, UNIQUE_KEYS["played_history"], SOURCE_ORDER), "new_plays")
+        count = fresh.count()
+        if not count:
+            return None
+        return stamp(dense_play_ids(fresh, after=warehouse.reserve_play_ids(count)), "inserted_at")
+
+    warehouse.insert("played_history", numbered)
     return count
 
 
@@ -65,7 +78,7 @@ def enrich_features(warehouse: Warehouse, source: DataFrame | None) -> dict:
     if source is not None and stats["feature_candidates"]:
         found = stage(enrich.found_features(candidates, source), "features")
         stats["features_upserted"] = found.count()
-        warehouse.append("audio_features", stamp(found, "updated_at"))
+        warehouse.insert("audio_features", partial(_fresh, found, UNIQUE_KEYS["audio_features"], ()))
     return stats
 
 
@@ -77,7 +90,7 @@ def enrich_embeddings(warehouse: Warehouse, encoder) -> dict:
     if encoder is not None and stats["embedding_candidates"]:
         vectors = stage(encoder(texts, "text", "embedding").select("track_uri", "embedding"), "vectors")
         stats["embeddings_upserted"] = vectors.count()
-        warehouse.append("embeddings", stamp(vectors, "updated_at"))
+        warehouse.insert("embeddings", partial(_fresh, vectors, UNIQUE_KEYS["embeddings"], ()))
     return stats
 
 
@@ -104,6 +117,8 @@ def import_history(
     counts = load_documents(warehouse, read_documents(spark, path, pattern), collision_safe)
     stats = enrich_after_import(warehouse, features, encoder)
     warehouse.refresh_profile()
+    warehouse.vacuum()
+    follow(warehouse)
     return {
         "records_read": counts["records_read"],
         "tracks": warehouse.read("tracks").count(),
@@ -114,6 +129,18 @@ def import_history(
 
 
 def open_history(spark: SparkSession, root: str) -> DataFrame:
-    """Publish the view of a warehouse in this session."""
+    """Publish the view of a warehouse in this session, as of its latest commit.
+
+    What is returned stays as it is, whatever is loaded later; the published view follows
+    the imports of the same session.
+    """
     warehouse = Warehouse(spark, root)
-    return publish_view(warehouse.star(), warehouse.profile())
+    at = warehouse.snapshot()
+    spark.conf.set(_PUBLISHED, warehouse.root)
+    return publish_view(at.star(), at.profile())
+
+
+def follow(warehouse: Warehouse) -> None:
+    """Bring the session's published view up to date if it is this warehouse's."""
+    if warehouse.spark.conf.get(_PUBLISHED, None) == warehouse.root:
+        open_history(warehouse.spark, warehouse.root)

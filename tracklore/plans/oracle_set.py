@@ -379,6 +379,15 @@ def oracle_sql() -> dict[str, str]:
     records("dim_track_artists", "SELECT * FROM r_pairs")
     for name in ("import_star", "import_twice", "stream_import"):
         records(name, _IMPORTED)
+    half, per_track = "WHERE substr(file_name, 9, 12)::BIGINT % 2 = 0", """
+      SELECT '{moment}' AS moment, track_uri, coalesce(artist_names, 'Unknown Artist') AS artist_names, plays
+      FROM (SELECT track_uri, count(DISTINCT played_at) AS plays FROM r_plays {part} GROUP BY 1)
+      LEFT JOIN (SELECT track_uri, string_agg(DISTINCT artist_name, ', ' ORDER BY artist_name) AS artist_names
+                 FROM r_named {part} GROUP BY 1) USING (track_uri)
+    """
+    for name, opened, now in (("view_after_stream", half, ""), ("view_after_reset", "", half)):
+        records(name, per_track.format(moment="opened", part=opened) + " UNION ALL "
+                + per_track.format(moment="now", part=now))
     records("import_summary", """
       , source AS (SELECT DISTINCT 'spotify:track:' || (o_orderkey // 3) AS uri FROM orders)
       SELECT (SELECT count(*) FROM events) AS records_read,

@@ -349,6 +349,40 @@ def stream_import(spark, sf_dir):
     return _row_counts(warehouse, IMPORTED)
 
 
+def _per_track(view: DataFrame, moment: str) -> DataFrame:
+    return view.groupBy("track_uri", "artist_names").agg(
+        F.lit(moment).alias("moment"), F.count("*").alias("plays")
+    )
+
+
+@query
+def view_after_stream(spark, sf_dir):
+    """The view as opened before a stream loads the other half, and as published after it."""
+    warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
+    files = _export_files(spark, sf_dir)
+    import_history.load_documents(warehouse, adapters.documents(spark, sf_dir).filter(_FIRST_HALF))
+    warehouse.refresh_profile()
+    opened = import_history.open_history(spark, warehouse.root)
+    stream_history(spark, files, warehouse.root, pattern="*.txt").awaitTermination()
+    return _per_track(opened, "opened").unionByName(_per_track(spark.table(fx.HISTORY_VIEW), "now"))
+
+
+# Documents of even numbers, which their names hold.
+_FIRST_HALF = "cast(substring(file_name, 9, 12) AS bigint) % 2 = 0"
+
+
+@query
+def view_after_reset(spark, sf_dir):
+    """The view as opened before a reset, and as published after the next load."""
+    warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
+    documents = stage(adapters.documents(spark, sf_dir), "documents")
+    import_history.load_documents(warehouse, documents)
+    opened = import_history.open_history(spark, warehouse.root)
+    warehouse.reset()
+    import_history.load_documents(warehouse, documents.filter(_FIRST_HALF))
+    return _per_track(opened, "opened").unionByName(_per_track(spark.table(fx.HISTORY_VIEW), "now"))
+
+
 @query
 def import_summary(spark, sf_dir):
     report = import_history.import_history(

@@ -2,117 +2,292 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklore.plans.history_view import track_profile
 from tracklore.schema import TABLE_SCHEMAS, WRITE_ORDER, Star
-from tracklore.session import stage
+from tracklore.sources.manifests import EMPTY, Manifests
 
 # Upper bound on rows per file, in place of fixed-size insert batches.
 MAX_RECORDS_PER_FILE = 50_000_000
 MONTH = "played_month"
-_SCHEMAS = {
-    **TABLE_SCHEMAS,
-    # Ids handed out so far, one row per import.
-    "play_id_ranges": "last_id bigint",
-}
+COMMIT = "commit"
+PROFILE = "track_profile"
+# Tables that the profile is made of.
+PROFILE_TABLES = ["tracks", "artists", "track_artists", "audio_features"]
+# Changes of the profile that a reader puts over it, before it is written anew.
+MAX_DELTAS = 8
+KEEP_SECONDS = 24 * 3600
 
 
 def month_of(played_at: str):
     return F.date_format(played_at, "yyyy-MM")
 
 
+def put_over(rows: DataFrame, newer: DataFrame) -> DataFrame:
+    """``rows`` with those of ``newer`` in place of the ones of the same track."""
+    return rows.join(newer.select("track_uri"), "track_uri", "left_anti").unionByName(newer)
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The tables as of one commit. Later commits, a reset too, leave its files alone."""
+
+    warehouse: Warehouse
+    number: int
+    state: dict
+
+    def commits(self, name: str) -> list[str]:
+        return self.state["tables"].get(name, [])
+
+    def read(self, name: str) -> DataFrame:
+        """A table; empty when nothing has been written. Plays carry their month."""
+        return self.warehouse.read_commits(name, self.commits(name))
+
+    def star(self) -> Star:
+        return Star(**{name: self.read(name).drop(MONTH) for name in WRITE_ORDER})
+
+    def _changed_tracks(self) -> DataFrame | None:
+        """Tracks whose profile the stored one does not know, by what was added since.
+
+        None when a table was replaced since, so that any track may have changed.
+        """
+        known, parts = self.state["profile"]["tables"], {}
+        for name in PROFILE_TABLES:
+            old, now = known[name], self.commits(name)
+            if now[: len(old)] != old:
+                return None
+            parts[name] = self.warehouse.read_commits(name, now[len(old) :])
+        by_artist = self.read("track_artists").join(
+            parts["artists"].select(F.col("uri").alias("artist_uri")), "artist_uri", "left_semi"
+        )
+        return (
+            parts["tracks"].select(F.col("uri").alias("track_uri"))
+            .union(parts["track_artists"].select("track_uri"))
+            .union(parts["audio_features"].select("track_uri"))
+            .union(by_artist.select("track_uri"))
+            .distinct()
+        )
+
+    def profile_is_current(self) -> bool:
+        stored = self.state["profile"]
+        return stored is not None and all(stored["tables"][n] == self.commits(n) for n in PROFILE_TABLES)
+
+    def stored_profile(self) -> DataFrame:
+        stored = self.state["profile"]
+        rows = self.warehouse.read_commits(PROFILE, stored["base"])
+        for change in stored["changes"]:
+            rows = put_over(rows, self.warehouse.read_commits(PROFILE, [change]))
+        return rows
+
+    def changed_profile(self) -> DataFrame | None:
+        """Profile rows of the tracks that changed since it was stored: only their credits
+        and features are joined. None when it must be built anew."""
+        changed = self._changed_tracks() if self.state["profile"] else None
+        if changed is None:
+            return None
+        star = self.star()
+        own = {name: star[name].join(changed, "track_uri", "left_semi") for name in ("track_artists", "audio_features")}
+        tracks = star.tracks.join(changed.withColumnRenamed("track_uri", "uri"), "uri", "left_semi")
+        return track_profile(Star(**{**dict(star.items()), **own, "tracks": tracks}))
+
+    def profile(self) -> DataFrame | None:
+        """The per-track columns of the view, from the stored ones where there are any; None
+        when they were never stored or a table behind them was replaced."""
+        if self.profile_is_current():
+            return self.stored_profile()
+        newer = self.changed_profile()
+        return None if newer is None else put_over(self.stored_profile(), newer)
+
+
 class Warehouse:
-    """Tables are append-only files; plays are laid out by month."""
+    """Tables are sets of commits, folders that are written once; plays are laid out by
+    month below. Which commits a table has is said by the latest manifest, so a writer
+    adds its rows all at once, and a reader keeps what it has opened."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._manifests = Manifests(spark, f"{self.root}/manifests")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _target(self, name: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def _target(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def exists(self, name: str) -> bool:
-        target, files = self._target(name)
-        return files.exists(target)
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self, *self._manifests.latest())
 
-    def _stored_schema(self, name: str) -> T.StructType:
-        text = _SCHEMAS[name] + (f", {MONTH} string" if name == "played_history" else "")
-        return T.StructType.fromDDL(text)
+    def version(self) -> int:
+        """Number of the latest commit."""
+        known = self._manifests.listed()
+        return known[-1][0] if known else 0
 
-    def read(self, name: str) -> DataFrame:
-        """A table; empty when nothing has been written. Plays carry their month."""
-        schema = self._stored_schema(name)
-        if not self.exists(name):
+    def read_commits(self, name: str, commits: list[str]) -> DataFrame:
+        if name == PROFILE:
+            schema = track_profile(Star(**{n: self.read_commits(n, []) for n in WRITE_ORDER})).schema
+        else:
+            text = TABLE_SCHEMAS[name] + (f", {MONTH} string" if name == "played_history" else "")
+            schema = T.StructType.fromDDL(text)
+        if not commits:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        paths = [f"{self.path(name)}/{COMMIT}={c}" for c in commits]
+        return self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*paths).drop(COMMIT)
 
-    def star(self) -> Star:
-        return Star(**{name: self.read(name).drop(MONTH) for name in WRITE_ORDER})
+    def read(self, name: str) -> DataFrame:
+        return self.snapshot().read(name)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows; columns the rows lack are stored as NULL."""
-        self._write(name, rows, "append")
+    def star(self) -> Star:
+        return self.snapshot().star()
 
-    def overwrite(self, name: str, rows: DataFrame) -> None:
-        """Replace a table, also by a result computed from it: that is written to the
-        shared folder first, since a table cannot be overwritten while it is read."""
-        self._write(name, stage(rows, name), "overwrite")
-
-    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        if name not in ("played_history", "play_id_ranges"):
-            self._forget_profile()
-        columns = T.StructType.fromDDL(_SCHEMAS[name]).fields
-        out = rows.select(
-            *[
-                (F.col(f.name) if f.name in rows.columns else F.lit(None))
-                .cast(f.dataType)
-                .alias(f.name)
-                for f in columns
-            ]
-        )
+    def _store(self, name: str, rows: DataFrame) -> str:
+        """Write rows as a commit that no table has yet; columns they lack are NULL."""
+        commit = f"c{uuid.uuid4().hex}"
+        out = rows
+        if name != PROFILE:
+            fields = T.StructType.fromDDL(TABLE_SCHEMAS[name]).fields
+            out = rows.select(
+                *[
+                    (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                    for f in fields
+                ]
+            )
         if name == "played_history":
             # Rebalancing sends each month to few files and splits a month that is
             # larger than the advisory partition size.
             out = out.withColumn(MONTH, month_of("played_at")).hint("rebalance", MONTH)
-        writer = out.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        writer = out.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         if name == "played_history":
             writer = writer.partitionBy(MONTH)
-        writer.parquet(self.path(name))
+        writer.parquet(f"{self.path(name)}/{COMMIT}={commit}")
+        return commit
+
+    def _drop(self, name: str, commit: str) -> None:
+        target, files = self._target(f"{self.path(name)}/{COMMIT}={commit}")
+        files.delete(target, True)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows; columns the rows lack are stored as NULL."""
+        commit = self._store(name, rows)
+        self._manifests.commit(
+            lambda s: {**s, "tables": {**s["tables"], name: [*s["tables"].get(name, []), commit]}}
+        )
+
+    def insert(self, name: str, fresh: Callable[[DataFrame], DataFrame | None]) -> None:
+        """Add the rows that ``fresh`` makes from the stored ones, if any.
+
+        When another writer changes the table meanwhile, the rows are made again from what
+        is stored then, so no key comes in twice.
+        """
+        while True:
+            at = self.snapshot()
+            rows = fresh(at.read(name))
+            if rows is None:
+                return
+            commit, known = self._store(name, rows), at.commits(name)
+
+            def add(state):
+                if state["tables"].get(name, []) != known:
+                    return None
+                return {**state, "tables": {**state["tables"], name: [*known, commit]}}
+
+            if self._manifests.commit(add) is not None:
+                return
+            self._drop(name, commit)
+
+    def overwrite(self, name: str, rows: DataFrame) -> None:
+        """Replace a table, also by a result computed from it."""
+        commit = self._store(name, rows)
+        self._manifests.commit(lambda s: {**s, "tables": {**s["tables"], name: [commit]}})
 
     def reset(self) -> None:
         """Empty every table and restart ids."""
-        for name in _SCHEMAS:
-            self._write(name, self.spark.createDataFrame([], _SCHEMAS[name]), "overwrite")
+        self._manifests.commit(lambda _: dict(EMPTY))
 
     def last_play_id(self) -> int:
-        return self.read("play_id_ranges").agg(F.max("last_id")).first()[0] or 0
+        return self.snapshot().state["last_play_id"]
 
     def reserve_play_ids(self, count: int) -> int:
-        """Set ``count`` ids aside and return the last one used before. A failed import
-        leaves a gap, never a repeated id."""
-        last = self.last_play_id()
-        taken = self.spark.range(1).select(F.lit(last + count).cast("bigint").alias("last_id"))
-        self._write("play_id_ranges", taken.coalesce(1), "append")
-        return last
+        """Set ``count`` ids aside and return the last one used before; each writer gets a
+        range of its own. A failed import leaves a gap, never a repeated id."""
+        state = self._manifests.commit(lambda s: {**s, "last_play_id": s["last_play_id"] + count})
+        return state["last_play_id"] - count
+
+    def profile(self) -> DataFrame | None:
+        return self.snapshot().profile()
 
     def refresh_profile(self) -> None:
-        """Store the per-track columns of the view, so that queries join plays once."""
-        track_profile(self.star()).write.mode("overwrite").parquet(self.path("track_profile"))
+        """Store the per-track columns of the view, so that queries join plays once.
 
-    def _forget_profile(self) -> None:
-        """Drop the stored profile before a table behind it changes; until it is stored
-        again the view computes it."""
-        target, files = self._target("track_profile")
-        files.delete(target, True)
+        Only tracks that changed since the last time are worked out and written; every
+        ``MAX_DELTAS`` times all is written together.
+        """
+        at = self.snapshot()
+        if at.profile_is_current():
+            return
+        tables = {name: at.commits(name) for name in PROFILE_TABLES}
+        newer = at.changed_profile()
+        if newer is None:
+            made = {"base": [self._store(PROFILE, track_profile(at.star()))], "changes": [], "tables": tables}
+        elif len(at.state["profile"]["changes"]) < MAX_DELTAS:
+            stored = at.state["profile"]
+            made = {**stored, "changes": [*stored["changes"], self._store(PROFILE, newer)], "tables": tables}
+        else:
+            made = {"base": [self._store(PROFILE, put_over(at.stored_profile(), newer))], "changes": [], "tables": tables}
+        # Of two writers the later one stands; what it does not know yet is worked out by readers.
+        self._manifests.commit(lambda s: {**s, "profile": made})
 
-    def profile(self) -> DataFrame | None:
-        if not self.exists("track_profile"):
-            return None
-        return self.spark.read.parquet(self.path("track_profile"))
+    def compact(self, name: str) -> None:
+        """Write a table's commits together, so that readers list and open fewer files."""
+        at = self.snapshot()
+        known = at.commits(name)
+        if len(known) < 2:
+            return
+        commit = self._store(name, at.read(name))
+
+        def swap(state):
+            now = state["tables"].get(name, [])
+            if now[: len(known)] != known:
+                return None
+            profile = state["profile"]
+            if profile and name in profile["tables"]:
+                old = profile["tables"][name]
+                old = [commit, *old[len(known) :]] if old[: len(known)] == known else None
+                profile = None if old is None else {**profile, "tables": {**profile["tables"], name: old}}
+            return {**state, "profile": profile, "tables": {**state["tables"], name: [commit, *now[len(known) :]]}}
+
+        if self._manifests.commit(swap) is None:
+            self._drop(name, commit)
+
+    def vacuum(self, keep_seconds: float = KEEP_SECONDS) -> None:
+        """Delete what no manifest of the last ``keep_seconds`` names; a view that was
+        opened before may then lose its files."""
+        limit = (time.time() - keep_seconds) * 1000
+        known = self._manifests.listed()
+        kept = [n for k, (n, at) in enumerate(known) if at >= limit or k + 1 == len(known)]
+        # The state a kept one followed was current within the time too.
+        kept = [n for n, _ in known if n >= min(kept, default=0) - 1]
+        used = set()
+        for number in kept:
+            state = self._manifests.state(number)
+            profile = state["profile"] or {"base": [], "changes": []}
+            used |= {(PROFILE, c) for c in [*profile["base"], *profile["changes"]]}
+            used |= {(name, c) for name, commits in state["tables"].items() for c in commits}
+        for name in [*WRITE_ORDER, PROFILE]:
+            target, files = self._target(self.path(name))
+            for f in files.listStatus(target) if files.exists(target) else []:
+                commit = f.getPath().getName().partition("=")[2]
+                if commit and (name, commit) not in used and f.getModificationTime() < limit:
+                    files.delete(f.getPath(), True)
+        for number, _ in known:
+            if number not in kept:
+                self._manifests.forget(number)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tracklore import fixed_values as fx
@@ -21,7 +21,8 @@ def stream_history(
     **trigger,
 ) -> StreamingQuery:
     """Load each file of ``path`` once. Replayed batches are harmless: loading inserts
-    only what is not stored. Default trigger: everything available, then stop."""
+    only what is not stored, and the stored profile and a view published in this session
+    follow each batch. Default trigger: everything available, then stop."""
     configure(spark)
     warehouse = Warehouse(spark, root)
     documents = (
@@ -31,8 +32,13 @@ def stream_history(
         .load(path)
         .select(file_name(), "value")
     )
+
+    def load(batch: DataFrame, _: int) -> None:
+        load_documents(warehouse, batch)
+        warehouse.refresh_profile()
+
     return (
-        documents.writeStream.foreachBatch(lambda batch, _: load_documents(warehouse, batch) and None)
+        documents.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint or new_stage_path(spark, "stream"))
         .trigger(**(trigger or {"availableNow": True}))
         .start()
