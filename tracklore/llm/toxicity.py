@@ -55,6 +55,9 @@ FEATURES = (
     "capital_words exclamations questions punctuation disguised drawn_out mixed spelled"
 ).split()
 
+# A batch's features take some dozens of times its bytes.
+_BATCH_BYTES = 2 << 20
+
 
 def _plain() -> np.ndarray:
     """Bytes as read through the usual disguises."""
@@ -125,6 +128,16 @@ def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> tuple[np.ndarray,
     return pick(False), pick(True)
 
 
+def _counts(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of ``flags`` are set in each range; no wider copy of the flags is made."""
+    out = np.zeros(len(starts), np.int64)
+    some = ends > starts
+    if some.any():
+        edges = np.stack([starts[some], ends[some]], axis=1).ravel()
+        out[some] = np.add.reduceat(np.append(flags, False).view(np.int8), edges, dtype=np.int64)[::2]
+    return out
+
+
 def features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One row of FEATURES for each text."""
     data, offsets = flat(column)
@@ -140,7 +153,7 @@ def features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.nda
     running = lambda flags: np.r_[0, np.cumsum(flags)]
 
     def bytes_per_text(flags: np.ndarray) -> np.ndarray:
-        return np.diff(running(flags)[offsets]).astype(float)
+        return _counts(flags, offsets[:-1], offsets[1:]).astype(float)
 
     length = ends - starts
     values = _hashes(low, starts, ends)
@@ -165,12 +178,10 @@ def features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.nda
     upper = (data >= 65) & (data <= 90)
     digit = (data >= 48) & (data <= 57)
     letter = ((low >= 97) & (low <= 122)) | (data >= 0x80)
-    ups, digits, letters = running(upper), running(digit), running(letter)
-    capital = (ups[ends] - ups[starts] == length) & (length >= 3)
-    d, a = digits[ends] - digits[starts], letters[ends] - letters[starts]
+    capital = (_counts(upper, starts, ends) == length) & (length >= 3)
+    d, a = _counts(digit, starts, ends), _counts(letter, starts, ends)
     same = np.zeros(len(data), bool)
     same[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2]) & (low[2:] < 0x80)
-    drawn = running(same)
     single = (length == 1) & (a == 1)
     chain = running(single)
     spelled = single & (chain[np.minimum(place + 2, len(starts))] - chain[np.maximum(place - 1, 0)] == 3)
@@ -190,7 +201,7 @@ def features(column: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.nda
         bytes_per_text(data == 63) / count,
         bytes_per_text(sign) / size,
         disguised / count,
-        per_text(drawn[ends] > drawn[starts]) / count,
+        per_text(_counts(same, starts, ends) > 0) / count,
         per_text((d > 0) & (a > 0)) / count,
         per_text(spelled) / count,
     ]
@@ -242,7 +253,7 @@ def score(
 ) -> DataFrame:
     """``docs`` (as struct ``doc``, or of it the columns in ``carry``) with held_out, score,
     predicted."""
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, _BATCH_BYTES)
     rows = docs.select(
         F.struct(*(carry or docs.columns)).alias("doc"),
         held_out(id_col).alias("held_out"),
