@@ -9,8 +9,9 @@ windows; sketches are merged cell by cell. A window is represented in the sketch
 rarest-looking part (the smallest hash among its sub-windows of half its length), so
 neighbouring windows share one entry and the sketch needs about one cell in thirteen
 words. Equal windows have equal representatives at different places, so the merged
-sketch never says less than the true count. The second pass groups exactly, by a 96-bit
-hash of all words, only windows whose estimate is two or more; none that repeats is lost.
+sketch never says less than the true count. The second pass groups only windows whose
+estimate is two or more, by two independent 64-bit hashes of all their words; none that
+repeats is lost.
 
 Scale. The sketch grows with the corpus up to ``MAX_CELLS`` cells a row (64 MB for both
 rows); beyond that the hash space is cut into slices, one pass each, so a task never holds
@@ -124,7 +125,9 @@ def emit_windows(plan: Plan, number: int, sketch):
             if not len(at):
                 continue
             h1 = hasher(42).windows(hashes, plan.window)[at]
-            h2 = (hasher(43).windows(hashes, plan.window)[at] >> U64(32)).astype(np.uint32)
+            # Of other word hashes, so that two words that clash in the first don't here.
+            other = hasher(44).words(data, starts, ends)
+            h2 = hasher(43).windows(other, plan.window)[at]
             ref = (np.searchsorted(word_offsets, at, "right") - 1).astype(np.int32)
             ids = batch.column("k").to_numpy(zero_copy_only=False)
             order = np.lexsort((ids[ref], h2, h1))
@@ -169,7 +172,7 @@ def resolve(table: pa.Table) -> pa.Table:
     ids, texts = join("ids", np.int64), join("texts", np.int64)
     ref, place = join("ref", np.uint16) + shift, join("place", np.int32)
     if not sure:
-        h1, h2 = join("h1", U64), join("h2", np.uint32)
+        h1, h2 = join("h1", U64), join("h2", U64)
         order = np.lexsort((ids[ref], h2, h1))
         h1, h2, ref, place = h1[order], h2[order], ref[order], place[order]
         new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
