@@ -490,6 +490,17 @@ def oracle_sql() -> dict[str, str]:
       FROM ranked QUALIFY rank <= 10
     """
 
+    out["ann_topk"] = _CENTRES.format(by="1") + f"""
+      , measured AS (
+        SELECT 'spotify:track:' || vec_id AS track_uri, round({_DISTANCE}, 12) AS d FROM embeddings JOIN centres ON g = 1
+      )
+      SELECT track_uri, round(d, 6) AS cosine_distance FROM measured ORDER BY d, track_uri LIMIT 10
+    """
+    out["ann_recall"] = """
+      SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM embeddings)) AS found, true AS recall_reached
+      FROM embeddings WHERE vec_id % 50 = 0
+    """
+
     out["dq_unique"] = (
         "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem "
         "WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"

@@ -13,7 +13,7 @@ from tracklore.functions import encoders, sql_text, text, vectors
 from tracklore.functions.nested import drop_nested_keys as without_keys
 from tracklore.functions.records import clamp_duration as clamp
 from tracklore.functions.timestamps import parse_timestamp
-from tracklore.operators import adhoc, dimensions, enrich, normalise, quality, search, upsert
+from tracklore.operators import adhoc, cell_index, dimensions, enrich, normalise, quality, search, upsert
 from tracklore.plans import adapters, history_view, import_history, reports
 from tracklore.schema import FEATURE_COLUMNS, Star
 from tracklore.session import new_stage_path, stage
@@ -541,9 +541,29 @@ def batch_topk(spark, sf_dir):
 
 @query
 def ann_topk(spark, sf_dir):
-    rows = adapters.embeddings(spark, sf_dir)
-    index = search.AnnIndex.build(rows)
-    return index.search(rows, _mean_vector(spark, sf_dir))
+    """Certain search of the stored index: cells are left out by their bounds only."""
+    index = cell_index.build(adapters.embeddings(spark, sf_dir), new_stage_path(spark, "cells"))
+    hits = index.search(_mean_vector(spark, sf_dir), certain=True)
+    return hits.withColumn("cosine_distance", F.round("cosine_distance", 6))
+
+
+@query
+def ann_recall(spark, sf_dir):
+    """Every vector with an id divisible by 50, searched in the index and in all rows."""
+    rows = adapters.table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0").select(
+        F.col("vec_id").cast("bigint").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    known = adapters.embeddings(spark, sf_dir)
+    index = cell_index.build(known, new_stage_path(spark, "cells"))
+    found = index.search_batch(asked)
+    exact = search.nearest_batch(known, asked).select("query_id", "track_uri", F.lit(1).alias("hit"))
+    both = found.join(exact, ["query_id", "track_uri"], "full")
+    return both.agg(
+        F.countDistinct("query_id").alias("queries"),
+        F.count("rank").alias("found"),
+        (F.sum(F.when(F.col("rank").isNotNull(), F.col("hit"))) >= 0.9 * F.count("hit")).alias("recall_reached"),
+    )
 
 
 # --- quality ------------------------------------------------------------------------------------
