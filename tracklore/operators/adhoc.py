@@ -54,15 +54,58 @@ def checked_statement(spark: SparkSession, sql: str) -> str:
     return row["sql"]
 
 
+def _sequence(items) -> list:
+    return [items.apply(i) for i in range(items.length())]
+
+
+def other_relations(spark: SparkSession, sql: str, allowed: str = fx.HISTORY_VIEW) -> list[str]:
+    """What a statement reads besides the view and its own WITH queries, sorted.
+
+    The parsed plan is walked with its subqueries, and every name is looked up where it
+    stands, so neither a qualified name nor a WITH query of another part hides a table. A
+    WITH query may not take the view's name.
+    """
+    found = set()
+
+    def walk(plan, known: frozenset) -> None:
+        kind = plan.nodeName()
+        if kind == "UnresolvedRelation":
+            parts = _sequence(plan.multipartIdentifier())
+            if len(parts) > 1 or parts[0].lower() not in known:
+                found.add(".".join(parts))
+        elif "UnresolvedIdentifier" in kind:
+            found.add("IDENTIFIER")  # a name worked out later
+        elif kind == "UnresolvedWith":
+            inside = known
+            for entry in _sequence(plan.cteRelations()):
+                name = entry._1().lower()
+                if name == allowed:
+                    found.add(name)
+                own = inside | {name} if plan.allowRecursion() else inside
+                walk(entry._2(), own)
+                inside = inside | {name}
+            known = inside
+        for child in _sequence(plan.children()) + _sequence(plan.subqueries()):
+            walk(child, known)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset({allowed}))
+    return sorted(found)
+
+
 def structured_query(
     spark: SparkSession, sql: str, max_rows: int = fx.QUERY_MAX_ROWS
 ) -> DataFrame:
     """A checked statement as a DataFrame of at most ``max_rows`` rows.
 
-    Calls of Java methods are refused on the analysed plan, whatever their spelling.
+    Other relations than the view are refused on the parsed plan, calls of Java methods on
+    the analysed one, whatever their spelling.
     """
     _follow(spark)
-    result = spark.sql(checked_statement(spark, sql))
+    statement = checked_statement(spark, sql)
+    others = other_relations(spark, statement)
+    if others:
+        raise ValueError(fx.REASON_RAW_TABLES.format(", ".join(others)))
+    result = spark.sql(statement)
     if _REFLECTION in result._jdf.queryExecution().analyzed().toJSON():
         raise ValueError("calls of Java methods are not allowed")
     return result.limit(max_rows)
