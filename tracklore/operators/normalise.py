@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ from tracklore.functions.text import artist_uri, blank_to_null, local_uri
 from tracklore.functions.timestamps import parse_timestamp
 
 
-def normalise(records: DataFrame) -> DataFrame:
+def normalise(records: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Add the normalised columns and ``reason`` (NULL for a valid play).
 
     One projection, no shuffle. A value of a wrong type is set aside with a reason
-    so that one bad record does not stop the import.
+    so that one bad record does not stop the import. Columns in ``carry`` are kept.
     """
     rows = records.withColumns(
         {c: blank_to_null(F.col(c)) for c in ("track_uri", "title", "artist_name")}
@@ -33,6 +35,7 @@ def normalise(records: DataFrame) -> DataFrame:
         clamp_duration(F.col("ms_played")).alias("playback_ms"),
         "has_duration",
         "wrong_type",
+        *carry,
     )
     reason = (
         F.when(F.col("wrong_type"), "wrong_type")

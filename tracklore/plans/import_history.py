@@ -22,12 +22,16 @@ _PUBLISHED = "tracklore.published.warehouse"
 
 
 def load_documents(warehouse: Warehouse, documents: DataFrame, collision_safe: bool = False) -> dict:
-    """Parse documents and insert what is new, dimensions before plays.
+    """Parse documents and insert what is new, dimensions before plays; returns how many
+    records were read and rejected, and how many documents skipped.
 
     The parsed, typed records are written once to the shared folder: JSON is read a
     single time, and the four loads below read only the columns they need.
     """
-    records = stage(normalise.normalise(scan_history(documents)), "records")
+    scanned = stage(
+        normalise.normalise(scan_history(documents, with_skipped=True), carry=["skipped"]), "records"
+    )
+    records = scanned.filter(F.col("skipped").isNull()).drop("skipped")
     plays = normalise.valid_plays(records)
     loads = {
         "tracks": (dimensions.track_rows(plays), ()),
@@ -38,8 +42,11 @@ def load_documents(warehouse: Warehouse, documents: DataFrame, collision_safe: b
         warehouse.insert(name, partial(_fresh, rows, UNIQUE_KEYS[name], order))
     load_plays(warehouse, normalise.play_facts(plays))
     follow(warehouse)
-    counts = records.agg(
-        F.count("*").alias("records_read"), F.count("reason").alias("records_rejected")
+    read = F.col("skipped").isNull()
+    counts = scanned.agg(
+        F.count_if(read).alias("records_read"),
+        F.count_if(read & F.col("reason").isNotNull()).alias("records_rejected"),
+        F.count("skipped").alias("documents_skipped"),
     ).first()
     return counts.asDict()
 

@@ -368,6 +368,11 @@ def oracle_sql() -> dict[str, str]:
     records("src_json_history",
             "SELECT stamp AS ts, given_uri AS track_uri, title, artist AS artist_name, "
             "album AS album_name, ms_played FROM r_typed")
+    out["skipped_documents"] = """
+      SELECT 'history-' || lpad(CAST(doc AS VARCHAR), 12, '0') || suffix AS file_name, skipped
+      FROM (SELECT DISTINCT event_id // 1000 AS doc FROM events),
+           (VALUES ('-cut.json', 'not_json'), ('-root.json', 'not_array')) AS v(suffix, skipped)
+    """
     records("normalise_plays", "SELECT * FROM r_plays")
     records("rejected_plays",
             "SELECT file_name, pos, reason FROM r_checked WHERE reason IS NOT NULL")

@@ -17,6 +17,7 @@ from tracklore.operators import adhoc, cell_index, dimensions, enrich, normalise
 from tracklore.plans import adapters, history_view, import_history, reports
 from tracklore.schema import FEATURE_COLUMNS, Star
 from tracklore.session import new_stage_path, stage
+from tracklore.sources import history_json
 from tracklore.sources.history_json import read_documents, scan_history
 from tracklore.sources.sinks import rows_as_json as json_rows
 from tracklore.sources.warehouse import Warehouse
@@ -278,6 +279,11 @@ def _export_files(spark, sf_dir) -> str:
     return folder
 
 
+@query
+def skipped_documents(spark, sf_dir):
+    return history_json.skipped_documents(adapters.documents(spark, sf_dir))
+
+
 @query
 def normalise_plays(spark, sf_dir):
     return normalise.valid_plays(_normalised(spark, sf_dir))

@@ -20,6 +20,8 @@ DOCUMENT_SCHEMA = "file_name string, value string"
 # The document is parsed inside an outer array that ends with this marker, so text
 # left over after the document's own array, or a second array, is noticed.
 _END = '["end-of-document"]'
+# A document is one Spark string of at most 2 GB, and is wrapped in some more text.
+MAX_DOCUMENT_BYTES = (1 << 31) - 1024
 _JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 _FIELDS = {
@@ -51,7 +53,7 @@ def read_documents(
     A file is taken whatever its suffix; a folder yields its own files matching
     ``pattern``, not those of sub-folders; anything else yields no rows. Many files
     spread over tasks; one file is one task, as its array has to be read whole to
-    know whether it is valid.
+    know whether it is valid. A file too large for that comes with a NULL value.
     """
     kind = _is_single_file(spark, path)
     if kind is None:
@@ -59,9 +61,17 @@ def read_documents(
     # The files themselves are the paths read, so a sub-folder named like a partition
     # (year=2024) takes no part.
     files = _literal(path) if kind else f"{_literal(path)}/{pattern}"
-    if not _matches(spark, files):
-        return spark.createDataFrame([], DOCUMENT_SCHEMA)
-    return spark.read.text(files, wholetext=True).select(file_name(), "value")
+    found = _matches(spark, files)
+    large = [name for name, _, size in found if size > MAX_DOCUMENT_BYTES]
+    if large:
+        files = [_literal(where) for _, where, size in found if size <= MAX_DOCUMENT_BYTES]
+    # Spark's reader gives no row for an empty file.
+    unread = [(name, None) for name in large] + [(name, "") for name, _, size in found if not size]
+    documents = spark.createDataFrame(unread, DOCUMENT_SCHEMA)
+    if len(found) == len(unread):
+        return documents
+    read = spark.read.text(files, wholetext=True).select(file_name(), "value")
+    return read.unionByName(documents) if unread else read
 
 
 def _literal(path: str) -> str:
@@ -69,10 +79,12 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
 
 
-def _matches(spark: SparkSession, files: str) -> bool:
+def _matches(spark: SparkSession, files: str) -> list[tuple[str, str, int]]:
+    """(name, path, bytes) of the files a pattern stands for."""
     target = spark._jvm.org.apache.hadoop.fs.Path(files)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return any(status.isFile() for status in fs.globStatus(target) or [])
+    found = [s for s in fs.globStatus(target) or [] if s.isFile()]
+    return [(s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in found]
 
 
 def file_name() -> Column:
@@ -101,18 +113,57 @@ def explode_records(documents: DataFrame) -> DataFrame:
     )
 
 
-def scan_history(documents: DataFrame) -> DataFrame:
+def _skip_reason(array: Column) -> Column:
+    """Why a document adds nothing; NULL for one that was read. A document without an array
+    is parsed once more to tell whether it is one JSON value at all."""
+    values = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$", "array<variant>"
+    )
+    return (
+        F.when(F.col("value").isNull(), "too_large")
+        .when(~F.is_valid_utf8("value"), "not_utf8")
+        .when(array.isNotNull(), None)
+        .when(F.size(values) == 1, "not_array")
+        .otherwise("not_json")
+    )
+
+
+def _elements(documents: DataFrame) -> DataFrame:
+    """(file_name, skipped, pos, r): the elements of documents that were read, and one row
+    without an element for each that was not, from one pass."""
+    fields = F.transform(
+        F.when(F.is_valid_utf8("value"), _document_array()),
+        lambda item: F.try_variant_get(item, "$", _RECORD_TYPE),
+    )
+    # The lambda names the array, so that it is made once for both uses.
+    parsed = F.transform(
+        F.array(fields), lambda a: F.struct(_skip_reason(a).alias("skipped"), a.alias("items"))
+    )[0]
+    return (
+        documents.select("file_name", F.explode(F.array(parsed)).alias("d"))
+        .select("file_name", F.col("d.skipped").alias("skipped"), F.posexplode_outer("d.items").alias("pos", "r"))
+        .filter(F.col("r").isNotNull() | F.col("skipped").isNotNull())
+    )
+
+
+def skipped_documents(documents: DataFrame) -> DataFrame:
+    """(file_name, skipped): documents that add no record, and why: too_large, not_utf8,
+    not_json (cut off, or text after the array), not_array."""
+    return _elements(documents).filter(F.col("skipped").isNotNull()).select("file_name", "skipped")
+
+
+def scan_history(documents: DataFrame, with_skipped: bool = False) -> DataFrame:
     """The six known keys of each record as plain columns; other keys are ignored.
 
     An element that is not an object does not convert to the record type and is dropped.
+    ``with_skipped`` adds the column ``skipped`` and a row for each document that was not
+    read, with its reason there and nothing else.
     """
-    fields = F.transform(_document_array(), lambda item: F.try_variant_get(item, "$", _RECORD_TYPE))
-    split = (
-        documents.filter(F.is_valid_utf8("value"))
-        .select("file_name", F.posexplode(fields).alias("pos", "r"))
-        .filter(F.col("r").isNotNull())
-        .select("file_name", "pos", *[F.col(f"r.{key}").alias(name) for name, key in _FIELDS.items()])
+    split = _elements(documents).select(
+        "file_name", "skipped", "pos", *[F.col(f"r.{key}").alias(name) for name, key in _FIELDS.items()]
     )
+    if not with_skipped:
+        split = split.filter(F.col("skipped").isNull())
     kinds = split.select(
         "*", *[F.schema_of_variant(name).alias(f"{name}_kind") for name in _FIELDS]
     )
@@ -133,4 +184,5 @@ def scan_history(documents: DataFrame) -> DataFrame:
         rec.duration_ms(*of("ms_played")).alias("ms_played"),
         F.coalesce(F.col("ms_played_kind") != "VOID", F.lit(False)).alias("has_duration"),
         wrong.alias("wrong_type"),
+        *(["skipped"] if with_skipped else []),
     )
