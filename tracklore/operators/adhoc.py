@@ -102,10 +102,10 @@ def structured_query(
     """
     _follow(spark)
     statement = checked_statement(spark, sql)
+    result = spark.sql(statement)  # analysed, not run: names that are not there fail here
     others = other_relations(spark, statement)
     if others:
         raise ValueError(fx.REASON_RAW_TABLES.format(", ".join(others)))
-    result = spark.sql(statement)
     if _REFLECTION in result._jdf.queryExecution().analyzed().toJSON():
         raise ValueError("calls of Java methods are not allowed")
     return result.limit(max_rows)
