@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from tests.llm import plain
-from tracklore.llm import near_dedup, substring_dedup, toxicity
+from tracklore.llm import exact_dedup, near_dedup, substring_dedup, toxicity
 from tracklore.llm.text_arrays import hasher
 
 
@@ -45,3 +45,12 @@ def test_counts_of_ranges():
     want = [int(flags[a:b].sum()) for a, b in zip(cuts, cuts[1:])]
     assert toxicity._counts(flags, cuts[:-1], cuts[1:]).tolist() == want
     assert toxicity._counts(flags[:0], np.zeros(2, int), np.zeros(2, int)).tolist() == [0, 0]
+
+
+def test_columns_of_the_same_name_stay(spark):
+    rows = [(1, "a b c", 5, 6), (2, "a  b c", 7, 8), (3, "other text", 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k int, _K_ int")
+    for keep in (exact_dedup.keep_first, near_dedup.keep_representatives):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

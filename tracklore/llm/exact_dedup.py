@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklore.llm.joins import join_groups
+from tracklore.llm.joins import free_name, join_groups
 from tracklore.llm.text_arrays import batches, flat, hasher, prepare, spaces
 from tracklore.session import stage
 
@@ -163,8 +163,9 @@ def duplicates(docs: DataFrame, id_col="doc_id", text_col="text", digest_bytes:
 
 def keep_first(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` without rows whose text an earlier row holds; all columns as they are."""
+    key = free_name(docs, "_k")
     chosen = _verdicts(docs, id_col, text_col).filter("kept")
-    chosen = chosen.select(F.struct(F.col("id"), F.col("_t").alias("t")).alias("_k"))
-    keyed = docs.withColumn("_k", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
+    chosen = chosen.select(F.struct(F.col("id"), F.col("_t").alias("t")).alias(key))
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
     # Rows equal in id and text are one document. One key for both steps: texts move once.
-    return keyed.join(chosen, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    return keyed.join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)

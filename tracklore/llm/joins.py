@@ -26,3 +26,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
         "*", *[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in added]
     )
     return near.unionByName(far).unionByName(none)
+
+
+def free_name(df: DataFrame, start: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while start.lower() in taken:
+        start += "_"
+    return start

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tracklore.llm import count_min
 from tracklore.llm.components import components
-from tracklore.llm.joins import join_groups
+from tracklore.llm.joins import free_name, join_groups
 from tracklore.llm.scratch import dispose
 from tracklore.llm.text_arrays import LOWER, U64, batches, binaries, flat, hasher, prepare, ragged, spaces, words
 from tracklore.session import stage
@@ -470,8 +470,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 
 def keep_representatives(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with the first document of each group of near duplicates; all columns."""
+    key = free_name(docs, "_k")
     kept = near_duplicates(docs, id_col, text_col).filter("kept").select(
-        F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("t")).alias("_k")
+        F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("t")).alias(key)
     )
-    keyed = docs.withColumn("_k", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
-    return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
