@@ -144,6 +144,26 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert counts == [9, 5, 8, 12]
 
 
+def test_stream_takes_the_same_files_as_a_batch(spark, tmp_path):
+    """Own files only, beside folders named like partitions, like exports, or with odd names."""
+    exports = tmp_path / "my exports [1]+2%20"
+    for folder in ("year=2024", "sub", "inner.json"):
+        (exports / folder).mkdir(parents=True)
+        write(exports / folder, "hidden.json", [record(master_metadata_track_name="in " + folder)])
+    write(exports, "a.json", EXPORT)
+    write(exports, "b c+d.json", OVERLAP)
+    write(exports, "notes.txt", EXPORT)
+    stream_history(spark, str(exports), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
+    import_history(spark, str(exports), str(tmp_path / "b"))
+    streamed, batch = Warehouse(spark, str(tmp_path / "s")), Warehouse(spark, str(tmp_path / "b"))
+    for name in ("tracks", "artists", "track_artists", "played_history"):
+        columns = [c for c in batch.read(name).columns if c not in ("updated_at", "inserted_at", "id")]
+        got, want = (w.read(name).select(columns).collect() for w in (streamed, batch))
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want
+    with pytest.raises(TypeError):
+        stream_history(spark, str(exports), str(tmp_path / "s"))
+
+
 def test_nothing_to_import(spark, tmp_path):
     report = import_history(spark, str(tmp_path / "absent"), str(tmp_path / "w"))
     assert set(report.values()) == {0}

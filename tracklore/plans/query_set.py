@@ -351,7 +351,7 @@ def import_twice(spark, sf_dir):
 def stream_import(spark, sf_dir):
     warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
     files = _export_files(spark, sf_dir)
-    stream_history(spark, files, warehouse.root, pattern="*.txt").awaitTermination()
+    stream_history(spark, files, warehouse.root, new_stage_path(spark, "stream"), "*.txt").awaitTermination()
     return _row_counts(warehouse, IMPORTED)
 
 
@@ -369,7 +369,7 @@ def view_after_stream(spark, sf_dir):
     import_history.load_documents(warehouse, adapters.documents(spark, sf_dir).filter(_FIRST_HALF))
     warehouse.refresh_profile()
     opened = import_history.open_history(spark, warehouse.root)
-    stream_history(spark, files, warehouse.root, pattern="*.txt").awaitTermination()
+    stream_history(spark, files, warehouse.root, new_stage_path(spark, "stream"), "*.txt").awaitTermination()
     return _per_track(opened, "opened").unionByName(_per_track(spark.table(fx.HISTORY_VIEW), "now"))
 
 

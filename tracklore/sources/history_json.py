@@ -60,7 +60,7 @@ def read_documents(
         return spark.createDataFrame([], DOCUMENT_SCHEMA)
     # The files themselves are the paths read, so a sub-folder named like a partition
     # (year=2024) takes no part.
-    files = _literal(path) if kind else f"{_literal(path)}/{pattern}"
+    files = _literal(path) if kind else own_files(path, pattern)
     found = _matches(spark, files)
     large = [name for name, _, size in found if size > MAX_DOCUMENT_BYTES]
     if large:
@@ -70,10 +70,32 @@ def read_documents(
     documents = spark.createDataFrame(unread, DOCUMENT_SCHEMA)
     if len(found) == len(unread):
         return documents
-    read = spark.read.text(files, wholetext=True).select(file_name(), "value")
+    read = spark.read.text(files, wholetext=True)
+    if not kind:
+        # The pattern may also stand for a sub-folder.
+        read = read.filter(parent_path() == F.lit(qualified(spark, path)))
+    read = read.select(file_name(), "value")
     return read.unionByName(documents) if unread else read
 
 
+def own_files(path: str, pattern: str) -> str:
+    """The glob for the files of a folder itself."""
+    return f"{_literal(path)}/{pattern}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder's full address, as files in it name it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(target).toUri().getPath().rstrip("/")
+
+
+def parent_path() -> Column:
+    """Decoded path of the folder of the file a row came from, without scheme and host."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(F.regexp_extract(encoded, r"^(?:[^:/]+:(?://[^/]*)?)?(/.*)/[^/]*$", 1))
+
+
 def _literal(path: str) -> str:
     """A path whose glob characters stand for themselves."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path.rstrip("/"))
