@@ -266,12 +266,35 @@ def test_batch_search_leaves_nan_vectors_out(spark):
 
 def test_batch_search_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "TILE", 1)
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "track_uri string, embedding array<double>")
     queries = spark.range(10).selectExpr("id AS query_id", "array(1.0D, double(id) / 4) AS vector")
     got = {r.query_id: r.track_uri for r in search.nearest_batch(df, queries, 1).collect()}
     assert got == {i: "a" if i <= 4 else "b" for i in range(10)}
 
 
+def test_batch_search_by_task_and_by_tile_agree(spark, vectors, monkeypatch):
+    """Ties, repeated rows, other widths, and queries and tracks without a direction."""
+    data, df = vectors
+    odd = [("nan", [float("nan")] * data.shape[1]), ("inf", [float("inf")] * data.shape[1]), ("short", [1.0, 2.0])]
+    odd = spark.createDataFrame(odd, "track_uri string, embedding array<double>")
+    df = df.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(odd)
+    asked = [(q, [float(x) for x in data[q * 7]]) for q in range(40)]
+    asked += [(90, [0.0] * data.shape[1]), (91, None), (92, [1.0, 2.5]), (93, [float("nan")]), (94, [])]
+    asked = spark.createDataFrame(asked, "query_id bigint, vector array<double>")
+    whole = sorted(map(tuple, search.nearest_batch(df, asked, 7).collect()))
+    for q in range(40):
+        got = [u for i, u, _, _ in sorted(whole, key=lambda r: r[3]) if i == q]
+        assert got == [u for u, _ in brute(data, data[q * 7], 7)]
+    assert [r[:2] for r in whole if r[0] >= 90] == [(92, "short")]
+    monkeypatch.setattr(search, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(search, "TILE", 100)
+    monkeypatch.setattr(search, "CELLS", 64)
+    assert sorted(map(tuple, search.nearest_batch(df, asked, 7).collect())) == whole
+    assert search.nearest_batch(df.limit(0), asked, 7).count() == 0
+    assert search.nearest_batch(df, asked.limit(0), 7).count() == 0
+
+
 @pytest.mark.parametrize(
     "call",
     [

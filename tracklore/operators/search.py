@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -18,8 +16,13 @@ from tracklore.plans.history_view import track_credits
 from tracklore.schema import Star
 from tracklore.session import stage
 
-# Query vectors travel to every task; this bounds what a pass over the embeddings sends.
+# So many query vectors may travel to every task.
 QUERY_BLOCK = 4096
+# Rows that a task keeps for all its queries together.
+KEPT_PER_TASK = 1 << 20
+# Distances worked out at once, and rows or queries of a tile.
+CELLS = 1 << 22
+TILE = 20_000
 
 
 def nearest(embeddings: DataFrame, vector: list[float], k: int = fx.SEARCH_K) -> DataFrame:
@@ -93,62 +96,27 @@ def semantic_search(star: Star, vector: list[float], k: int = fx.SEARCH_K) -> Da
 def nearest_batch(
     embeddings: DataFrame, queries: DataFrame, k: int = fx.SEARCH_K
 ) -> DataFrame:
-    """The ``k`` nearest tracks of each query, ranked.
-
-    ``queries`` (query_id bigint, vector array<float>) may hold any number of rows: they
-    are taken in blocks of about ``QUERY_BLOCK``, by a hash of their id, with a pass over
-    the embeddings each. Each Arrow batch of embeddings is compared with all queries in one matrix product and reduced to ``k`` rows per
-    query on the spot, so no list of pairs is ever formed; the survivors are reduced
-    once more per bucket and then per query. Vectors without a distance are left out.
+    """The ``k`` nearest tracks of each query, ranked; ties, rounded to 12 places, go by URI.
+
+    ``queries`` (query_id bigint, vector array<float>) may hold any number of rows with ids
+    of their own. Only pairs with a distance count: a query or track without a direction
+    (missing, zero or broken vector) or of another width takes no part.
+
+    Up to ``QUERY_BLOCK`` queries travel to every task (their number is checked first) and
+    the embeddings stay where they lie. More of them are dealt, like the embeddings, to tiles
+    by hashes; a task gets one tile of each and no query passes the driver. Either way a task
+    keeps ``k`` rows per query over all it reads, compares a slice of rows with all its queries
+    in one matrix product, and hands on ``k`` rows per query at its end, so no list of pairs
+    is ever formed. For millions of queries use the stored index.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(
-        DataFrame.unionByName,
-        [_nearest_block(embeddings, queries.filter(block == b), k) for b in range(blocks)],
-    )
-
-
-def _nearest_block(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", "vector").collect()
-    schema = "query_id long, track_uri string, cosine_distance double"
-    if not rows:
-        return embeddings.sparkSession.createDataFrame([], schema + ", rank int")
-    ids = [r["query_id"] for r in rows]
-    wanted = np.asarray([r["vector"] for r in rows], dtype="float64")
-    wanted = wanted / np.linalg.norm(wanted, axis=1, keepdims=True)
-
-    def best(batches):
-        for batch in batches:
-            uris = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.reshape(len(uris), -1).astype("float64")
-            if not len(uris):
-                continue
-            lengths = np.linalg.norm(vectors, axis=1)
-            # Rounded, so that equal vectors tie whatever their place in the product.
-            distance = np.round(1.0 - (wanted @ vectors.T) / lengths, 12)
-            for query_id, row in zip(ids, distance):
-                limit = np.partition(row, k - 1)[k - 1] if k < len(row) else np.inf
-                keep = np.nonzero(row <= limit)[0]
-                if len(keep) > k:
-                    keep = keep[np.lexsort((uris[keep].astype(str), row[keep]))[:k]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(keep), query_id, dtype="int64")),
-                        pa.array(uris[keep], type=pa.string()),
-                        pa.array(row[keep]),
-                    ],
-                    ["query_id", "track_uri", "cosine_distance"],
-                )
-
-    usable = embeddings.filter(
-        (F.size("embedding") == wanted.shape[1])
-        & F.forall("embedding", lambda v: v.isNotNull())
-        & ~F.exists("embedding", lambda v: F.isnan(v))
-        & (dot(F.col("embedding"), F.col("embedding")) > 0)
-    ).select("track_uri", "embedding")
-    partial = usable.mapInArrow(best, schema)
+    asked = _with_direction(queries.select("query_id", F.col("vector").alias("v")))
+    known = _with_direction(embeddings.select("track_uri", F.col("embedding").alias("v")))
+    few = max(1, min(QUERY_BLOCK, KEPT_PER_TASK // k))
+    count = asked.count()
+    if count <= few:
+        partial = _by_task(known, asked, k)
+    else:
+        partial = _by_tile(known, asked, k, -(-count // min(TILE, few)), -(-known.count() // TILE))
     order = ["cosine_distance", "track_uri"]
     bucketed = partial.withColumn("_bucket", F.pmod(F.xxhash64("track_uri"), F.lit(256)))
     first = F.row_number().over(Window.partitionBy("query_id", "_bucket").orderBy(*order))
@@ -162,6 +130,119 @@ def _nearest_block(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFra
     )
 
 
+def _with_direction(rows: DataFrame) -> DataFrame:
+    """Rows whose vector ``v`` has a finite length above zero."""
+    length = dot(F.col("v"), F.col("v"))
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    return rows.filter(whole & (length > 0) & (length < float("inf")))
+
+
+class _Nearest:
+    """The ``k`` nearest rows of each query among all rows shown so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.distances = [np.empty(0)] * len(ids)
+        self.uris = [np.empty(0, dtype=object)] * len(ids)
+        self.worst = np.full(len(ids), np.inf)
+
+    def show(self, uris: np.ndarray, vectors: np.ndarray) -> None:
+        rows = max(1, CELLS // max(1, len(self.ids)))
+        for at in range(0, len(uris), rows):
+            part = vectors[at : at + rows]
+            lengths = np.linalg.norm(part, axis=1)
+            # Rounded, so that equal vectors tie whatever their place in the product.
+            distance = np.round(1.0 - (self.unit @ part.T) / lengths, 12)
+            for q in np.nonzero(distance.min(axis=1) <= self.worst)[0]:
+                self._merge(q, distance[q], uris[at : at + rows])
+
+    def _merge(self, q: int, row: np.ndarray, uris: np.ndarray) -> None:
+        limit = self.worst[q]
+        if self.k < len(row):
+            limit = min(limit, np.partition(row, self.k - 1)[self.k - 1])
+        near = np.nonzero(row <= limit)[0]
+        distances = np.concatenate([self.distances[q], row[near]])
+        names = np.concatenate([self.uris[q], uris[near]])
+        if len(names) >= self.k:
+            keep = np.lexsort((names.astype(str), distances))[: self.k]
+            distances, names = distances[keep], names[keep]
+            self.worst[q] = distances[-1]
+        self.distances[q], self.uris[q] = distances, names
+
+    def rows(self) -> pa.Table:
+        sizes = [len(d) for d in self.distances]
+        return pa.table(
+            {
+                "query_id": pa.array(np.repeat(self.ids, sizes), type=pa.int64()),
+                "track_uri": pa.array(np.concatenate(self.uris), type=pa.string()),
+                "cosine_distance": pa.array(np.concatenate(self.distances), type=pa.float64()),
+            }
+        )
+
+
+def _by_width(names: pa.Array, vectors: pa.ListArray):
+    """(names, matrix) of the rows of each width; usually there is one."""
+    names = names.to_numpy(zero_copy_only=False)
+    ends = np.asarray(vectors.value_lengths())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    starts = np.cumsum(ends) - ends
+    for width in np.unique(ends):
+        here = np.nonzero(ends == width)[0]
+        yield int(width), names[here], flat[starts[here][:, None] + np.arange(width)]
+
+
+def _column(table, place: int) -> pa.Array:
+    column = table.column(place)
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+_HITS = "query_id long, track_uri string, cosine_distance double"
+
+
+def _by_task(known: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``k`` rows per query and task of ``known``; ``asked`` holds ``QUERY_BLOCK`` rows at most."""
+    table = asked.select(F.col("query_id").cast("long"), "v").toArrow()
+    blocks = {w: (ids, matrix) for w, ids, matrix in _by_width(_column(table, 0), _column(table, 1))}
+
+    def best(batches):
+        found = {w: _Nearest(ids, matrix, k) for w, (ids, matrix) in blocks.items()}
+        for batch in batches:
+            for width, uris, vectors in _by_width(batch.column(0), batch.column(1)):
+                if width in found:
+                    found[width].show(uris, vectors)
+        for kept in found.values():
+            yield from kept.rows().to_batches(max_chunksize=65_536)
+
+    return known.mapInArrow(best, _HITS)
+
+
+def _by_tile(known: DataFrame, asked: DataFrame, k: int, across: int, down: int) -> DataFrame:
+    """``k`` rows per query and tile: every tile of queries meets every tile of embeddings."""
+    down = max(1, down)
+
+    def dealt(rows: DataFrame, name: str, own: str, tiles: int, other: str, others: int) -> DataFrame:
+        tile = F.pmod(F.xxhash64(name, "v"), F.lit(tiles)).cast("int")
+        meets = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return rows.withColumn(own, tile).withColumn(other, meets)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for width, ids, matrix in _by_width(_column(right, 0), _column(right, 1)):
+            kept = _Nearest(ids, matrix, k)
+            for other, uris, vectors in _by_width(_column(left, 0), _column(left, 1)):
+                if other == width:
+                    kept.show(uris, vectors)
+            out.append(kept.rows())
+        empty = pa.schema([("query_id", pa.int64()), ("track_uri", pa.string()), ("cosine_distance", pa.float64())])
+        return pa.concat_tables(out) if out else empty.empty_table()
+
+    asked = asked.select(F.col("query_id").cast("long").alias("query_id"), "v")
+    left = dealt(known, "track_uri", "_row", down, "_column", across).groupBy("_row", "_column")
+    right = dealt(asked, "query_id", "_column", across, "_row", down).groupBy("_row", "_column")
+    return left.cogroup(right).applyInArrow(best, _HITS)
+
+
 class AnnIndex:
     """Approximate search by random-projection hashing.
 
