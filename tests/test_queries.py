@@ -9,7 +9,7 @@ import check
 
 SF_DIR = contract.SMOKE_DIR
 # Full import runs are covered on small exports in test_warehouse.
-NAMES = [n for n in contract.queries() if n not in ("import_twice", "stream_import", "reset_reload")]
+NAMES = [n for n in contract.queries() if n not in ("import_twice", "stream_import", "reset_reload", "default_stamps")]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the supplied tables")
 

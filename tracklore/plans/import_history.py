@@ -12,7 +12,7 @@ from tracklore.operators import dimensions, enrich, normalise
 from tracklore.operators.dimensions import SOURCE_ORDER
 from tracklore.operators.upsert import dense_play_ids, new_rows, stamp
 from tracklore.plans.history_view import publish_view
-from tracklore.schema import UNIQUE_KEYS
+from tracklore.schema import FEATURE_COLUMNS, UNIQUE_KEYS, Star
 from tracklore.session import configure, stage
 from tracklore.sources.history_json import read_documents, scan_history
 from tracklore.sources.warehouse import MONTH, Warehouse, month_of
@@ -101,6 +101,25 @@ def enrich_embeddings(warehouse: Warehouse, encoder) -> dict:
     return stats
 
 
+def update_features(warehouse: Warehouse, source: DataFrame) -> int:
+    """Put features of ``source`` (keyed by external id) over the stored ones of known
+    tracks, NULLs too, and add those that were not there; returns for how many tracks."""
+    found = stage(enrich.found_features(warehouse.read("tracks"), source), "features")
+    warehouse.update("audio_features", found, FEATURE_COLUMNS)
+    follow(warehouse)
+    return found.count()
+
+
+def update_embeddings(warehouse: Warehouse, encoder) -> int:
+    """Encode the present text of all tracks again and put it over the stored vectors;
+    returns for how many tracks."""
+    star = warehouse.star()
+    anew = Star(**{**dict(star.items()), "embeddings": star.embeddings.limit(0)})
+    vectors = stage(enrich.new_embeddings(anew, encoder), "vectors")
+    warehouse.update("embeddings", vectors, ["embedding"])
+    return vectors.count()
+
+
 def enrich_after_import(warehouse: Warehouse, features: DataFrame | None, encoder) -> dict:
     """Features first: the embedded text is made from them."""
     return {**enrich_features(warehouse, features), **enrich_embeddings(warehouse, encoder)}

@@ -384,6 +384,9 @@ def oracle_sql() -> dict[str, str]:
     records("dim_track_artists", "SELECT * FROM r_pairs")
     for name in ("import_star", "import_twice", "stream_import"):
         records(name, _IMPORTED)
+    records("default_stamps", f", imported AS ({_IMPORTED})" + """
+      SELECT table_name, n, n AS stamped_by_first_load FROM imported WHERE table_name <> 'track_artists'
+    """)
     half, per_track = "WHERE substr(file_name, 9, 12)::BIGINT % 2 = 0", """
       SELECT '{moment}' AS moment, track_uri, coalesce(artist_names, 'Unknown Artist') AS artist_names, plays
       FROM (SELECT track_uri, count(DISTINCT played_at) AS plays FROM r_plays {part} GROUP BY 1)
@@ -430,9 +433,10 @@ def oracle_sql() -> dict[str, str]:
     merged = ", ".join(
         f"CASE WHEN s.id IS NOT NULL THEN s.{c} ELSE f.{c} END AS {c}" for c in _FEATURES
     )
-    star("upsert_features",
-         f"SELECT coalesce(f.track_uri, 'spotify:track:' || s.id) AS track_uri, {merged} "
-         "FROM t_features f FULL JOIN t_source_one s ON f.track_uri = 'spotify:track:' || s.id")
+    for name in ("upsert_features", "update_stored"):
+        star(name,
+             f"SELECT coalesce(f.track_uri, 'spotify:track:' || s.id) AS track_uri, {merged} "
+             "FROM t_features f FULL JOIN t_source_one s ON f.track_uri = 'spotify:track:' || s.id")
     own, turned = _MICRO.format(x="embedding"), _MICRO.format(x="list_reverse(embedding)")
     out["upsert_embeddings"] = (
         f"SELECT CAST(vec_id AS VARCHAR) AS track_uri, CASE WHEN label < 5 THEN {turned} "
@@ -484,6 +488,9 @@ def oracle_sql() -> dict[str, str]:
       LEFT JOIN t_genres g2 ON g2.track_uri = t.uri
       LEFT JOIN t_features f ON f.track_uri = t.uri
     """
+    star("question_topk", f"""
+      SELECT min(track_uri) AS track_uri, 0.0::DOUBLE AS cosine_distance FROM ({_EMBEDDING_TEXT}) HAVING count(*) > 0
+    """)
     out["batch_topk"] = _CENTRES.format(by="label") + f"""
       , ranked AS (
         SELECT g AS query_id, 'spotify:track:' || vec_id AS track_uri,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tracklore import fixed_values as fx
 from tracklore.functions import encoders, sql_text, text, vectors
+from tracklore.functions.encoders import encode_question
 from tracklore.functions.nested import drop_nested_keys as without_keys
 from tracklore.functions.records import clamp_duration as clamp
 from tracklore.functions.timestamps import parse_timestamp
@@ -337,6 +338,32 @@ def import_star(spark, sf_dir):
     return _row_counts(warehouse, IMPORTED)
 
 
+@query
+def default_stamps(spark, sf_dir):
+    """Every inserted row carries the time of its own load, also after a second one."""
+
+    def now() -> Column:
+        time = F.current_timestamp().cast("timestamp_ntz").cast("string")
+        return F.lit(spark.range(1).select(time).first()[0]).cast("timestamp_ntz")
+
+    start = now()
+    warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
+    documents = stage(adapters.documents(spark, sf_dir), "documents")
+    import_history.load_documents(warehouse, documents)
+    half = now()
+    import_history.load_documents(warehouse, documents)
+    stamps = {"tracks": "updated_at", "artists": "updated_at", "played_history": "inserted_at"}
+    parts = [
+        warehouse.read(name).agg(
+            F.lit(name).alias("table_name"),
+            F.count("*").alias("n"),
+            F.count_if(F.col(column).between(start, half)).alias("stamped_by_first_load"),
+        )
+        for name, column in stamps.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def import_twice(spark, sf_dir):
     """Loading the same documents again adds nothing."""
@@ -441,6 +468,18 @@ def upsert_features(spark, sf_dir):
     return upsert.insert_or_update(stored, sent, "track_uri", FEATURE_COLUMNS)
 
 
+@query
+def update_stored(spark, sf_dir):
+    """Features put over stored ones in four parts, which readers merge."""
+    warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
+    warehouse.append("audio_features", adapters.audio_features(spark, sf_dir))
+    sent = stage(_sent_features(spark, sf_dir), "sent")
+    for part in range(4):
+        rows = sent.filter(F.pmod(F.xxhash64("track_uri"), F.lit(4)) == part)
+        warehouse.update("audio_features", rows, FEATURE_COLUMNS)
+    return warehouse.read("audio_features").select("track_uri", *FEATURE_COLUMNS)
+
+
 @query
 def upsert_embeddings(spark, sf_dir):
     """Half of the labels are sent again with new vectors, the rest as new tracks."""
@@ -537,6 +576,19 @@ def semantic_topk(spark, sf_dir):
     )
 
 
+@query
+def question_topk(spark, sf_dir):
+    """A question put to freshly encoded tracks: the text of one of them finds it first."""
+    encoder = encoders.hashing_encoder()
+    texts = stage(enrich.embedding_texts(enrich.embedding_candidates(adapters.star(spark, sf_dir))), "texts")
+    question = texts.agg(F.min_by("text", "track_uri").alias("text")).first()["text"]
+    known = encoder(texts, "text", "embedding").select("track_uri", "embedding")
+    if question is None:
+        return known.select("track_uri", F.lit(0.0).alias("cosine_distance"))
+    hits = search.nearest(known, encode_question(spark, question, encoder), 1)
+    return hits.select("track_uri", F.abs(F.round("cosine_distance", 6)).alias("cosine_distance"))
+
+
 @query
 def batch_topk(spark, sf_dir):
     rows = adapters.table(spark, sf_dir, "embeddings")
