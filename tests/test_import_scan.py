@@ -158,6 +158,14 @@ def test_values_of_other_types(spark, tmp_path):
     ]
 
 
+def test_an_album_of_another_type_keeps_its_play(spark, tmp_path):
+    albums = ["L", 7, 1.5, True, None, ["x"], {"a": 1}, ""]
+    write(tmp_path, "a.json", [record(album=a) for a in albums])
+    got = load(spark, tmp_path).orderBy("pos").collect()
+    assert [r.reason for r in got] == [None] * 8
+    assert [r.album_name for r in got] == ["L", "7", "1.5", "true", None, None, None, ""]
+
+
 def test_first_row_wins_in_file_and_array_order(spark, tmp_path):
     write(tmp_path, "b.json", [record(title="B", artist="星空")])
     write(tmp_path, "a.json", [record(title="A1", artist="夜空"), record(title="A2")])

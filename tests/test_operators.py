@@ -1,6 +1,8 @@
 """Upserts, checks, search, statement gate and nested keys on small inputs."""
 
+import json
 import math
+import random
 import time
 
 import numpy as np
@@ -256,6 +258,39 @@ def test_nested_keys_go_at_every_level(spark):
     assert row == {"id": 1, "s": {"in": [{"a": 1}]}, "m": {"kept": {"a": 2}}, "n": None}
 
 
+def test_nested_keys_go_from_variants(spark):
+    rng = random.Random(4)
+
+    def value(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice([None, True, 7, 1.5, "x", 'a "quoted\\\\" {[ text', [], {}, "é}"])
+        if rng.random() < 0.5:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        names = rng.sample(["secret", "a", "b c", "d.e", 'q"{', "hidden"], rng.randrange(4))
+        return {name: value(depth - 1) for name in names}
+
+    def without(v):
+        if isinstance(v, dict):
+            return {k: without(x) for k, x in v.items() if k not in ("secret", "hidden")}
+        return [without(x) for x in v] if isinstance(v, list) else v
+
+    deep = {"secret": 1, "a": []}
+    for _ in range(14):
+        deep = rng.choice([{"a": deep, "hidden": deep and 1}, [deep, 2]])
+    values = [value(5) for _ in range(150)] + [deep]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "id long, t string")
+    v = F.parse_json("t")
+    df = df.select("id", v.alias("v"), F.struct(F.array(v, v).alias("l"), F.lit(1).alias("secret")).alias("s"))
+    out = drop_nested_keys(df, {"secret", "hidden"}).select("id", F.to_json("v").alias("v"), F.to_json("s").alias("s"))
+    for row in out.collect():
+        clean = without(values[row.id])
+        assert json.loads(row.v) == clean and json.loads(row.s) == {"l": [clean, clean]}
+    typed = spark.sql("SELECT to_variant_object(named_struct('d', DATE'2024-01-02', 'secret', 1)) AS v, CAST(NULL AS VARIANT) AS n")
+    row = drop_nested_keys(typed, ["secret"]).selectExpr("schema_of_variant(v) AS kind", "n IS NULL AS none").first()
+    assert tuple(row) == ("OBJECT<d: DATE>", True)
+    assert drop_nested_keys(typed.limit(0), ["secret"]).count() == 0
+
+
 def test_batch_search_leaves_nan_vectors_out(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0])] + [(f"n{i}", [float("nan"), 1.0]) for i in range(3)]
     df = spark.createDataFrame(rows, "track_uri string, embedding array<double>").coalesce(1)

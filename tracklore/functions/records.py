@@ -23,6 +23,12 @@ def text_value(value: Column, kind: Column) -> Column:
     return F.when(kind == "STRING", value.cast("string"))
 
 
+def scalar_text(value: Column, kind: Column) -> Column:
+    """A field as text when it is a JSON string, number or boolean, else NULL."""
+    other = F.when(~kind.rlike("^(VOID|OBJECT|ARRAY)"), F.to_json(value))
+    return F.when(kind == "STRING", value.cast("string")).otherwise(other)
+
+
 def is_wrong_type(value: Column, kind: Column) -> Column:
     """True when a text field holds a non-empty value of another JSON type."""
     return F.when(kind.isin("STRING", "VOID") | kind.isNull(), False).otherwise(

@@ -548,7 +548,8 @@ def oracle_sql() -> dict[str, str]:
     """)
     out["drop_nested_keys"] = """
       SELECT event_id, '{"body":{"kind":"' || event_type || '","items":[{"value":' || value
-        || '},{"value":' || value || '}]},"named":{"kept":{"value":' || value || '}}}' AS rest
+        || '},{"value":' || value || '}]},"named":{"kept":{"value":' || value || '}},"open":{"list":[{"value":'
+        || value || '},{"value":' || value || '}]}}' AS rest
       FROM events
     """
     return out

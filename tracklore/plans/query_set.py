@@ -681,7 +681,7 @@ def rows_as_json(spark, sf_dir):
 
 @query
 def drop_nested_keys(spark, sf_dir):
-    """Keys go from columns, structs, arrays of structs and maps alike."""
+    """Keys go from columns, structs, arrays of structs, maps and VARIANT values alike."""
     e = adapters.table(spark, sf_dir, "events")
     inner = F.struct(F.col("value").alias("value"), F.col("user_id").alias("secret"))
     nested = e.select(
@@ -693,6 +693,7 @@ def drop_nested_keys(spark, sf_dir):
             F.array(inner, inner).alias("items"),
         ).alias("body"),
         F.create_map(F.lit("secret"), inner, F.lit("kept"), inner).alias("named"),
+        F.to_variant_object(F.struct(F.array(inner, inner).alias("list"), inner.alias("secret"))).alias("open"),
     )
     clean = without_keys(nested, ["secret"])
     return clean.select(

@@ -194,15 +194,16 @@ def scan_history(documents: DataFrame, with_skipped: bool = False) -> DataFrame:
         return F.col(name), F.col(f"{name}_kind")
 
     wrong = F.lit(False)
-    for name in ("track_uri", "title", "artist_name", "album_name"):
+    for name in ("track_uri", "title", "artist_name"):
         wrong = wrong | rec.is_wrong_type(*of(name))
     return kinds.select(
         "file_name",
         "pos",
         *[
             rec.text_value(*of(name)).alias(name)
-            for name in ("ts", "track_uri", "title", "artist_name", "album_name")
+            for name in ("ts", "track_uri", "title", "artist_name")
         ],
+        rec.scalar_text(*of("album_name")).alias("album_name"),
         rec.duration_ms(*of("ms_played")).alias("ms_played"),
         F.coalesce(F.col("ms_played_kind") != "VOID", F.lit(False)).alias("has_duration"),
         wrong.alias("wrong_type"),
