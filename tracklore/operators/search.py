@@ -111,9 +111,9 @@ def nearest_batch(
     """
     asked = _with_direction(queries.select("query_id", F.col("vector").alias("v")))
     known = _with_direction(embeddings.select("track_uri", F.col("embedding").alias("v")))
-    few = max(1, min(QUERY_BLOCK, KEPT_PER_TASK // k))
+    few = max(1, KEPT_PER_TASK // k)
     count = asked.count()
-    if count <= few:
+    if count <= min(QUERY_BLOCK, few):
         partial = _by_task(known, asked, k)
     else:
         partial = _by_tile(known, asked, k, -(-count // min(TILE, few)), -(-known.count() // TILE))
