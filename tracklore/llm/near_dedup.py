@@ -6,17 +6,20 @@ at a Jaccard similarity of 0.75 or more and grouped into connected components.
 1. Every shingle is hashed once; the ``k`` smallest hashes of a set are its sketch. Texts
    with equal sets form a class and are handled once.
 2. Inverted lists of retained values. Two linked sets share a known number of retained
-   values (exactly for sets of up to 0.75 k shingles; otherwise but for a chance below
-   1e-7), so each class is listed only under its rarest values, few enough that linked
-   classes still meet. Rarity comes from a count-min sketch of all retained values: those
-   held by one class only make no list, the very common come last.
-3. In each list all classes are first compared with its first member. Pairs whose estimate
-   from the sketch of their union is clearly too low go; the others are compared exactly
-   on their full sets. Lists whose members are then in different components get another
-   leader, drawn by a hash, as long as that links enough; then they are compared pair by
-   pair, across components only, so that no link is lost and large groups of alike texts
-   never make all their pairs.
-4. Components by star contraction; each class takes its component to all its texts.
+   values (certainly for sets of up to 0.75 k shingles; a larger pair at 0.75 exactly
+   fails with a chance of 3e-8, one at 0.8 with 4e-11), so each class is listed only under
+   its rarest values, few enough that linked classes still meet. Rarity comes from a
+   count-min sketch of all retained values: those held by one class only make no list, the
+   very common come last.
+3. The full sets of listed classes are stored once, each from one text of its class; the
+   other texts are not hashed again.
+4. In each list all classes are first compared with its first member. Pairs go whose union
+   sketch holds fewer shared values than linked sets have (the same event as in 2, so it
+   adds no chance); the others are compared exactly on their full sets. Lists whose members
+   are then in different components get another leader, drawn by a hash, as long as that
+   links enough; then they are compared pair by pair, across components only, so that no
+   further link is lost and large groups of alike texts never make all their pairs.
+5. Components by star contraction; each class takes its component to all its texts.
 
 Defined cases: a text of fewer than five words has one shingle of all its words; one
 without words, or null, has an empty set, is linked with nothing and is its own
@@ -43,10 +46,10 @@ from tracklore.session import stage
 
 SHINGLE = 5
 K = 64
-# Linked sets share this many of K retained values, but for a chance below 1e-7.
+# Linked sets share this many of the K values of their union's sketch, but for a chance
+# below 1e-7; so their sketches share them, and their estimate is no lower.
 _SHARED = 28
-# Pairs estimated below this are not linked, but for a chance below 1e-6.
-_ESTIMATE = 0.5
+_ESTIMATE = _SHARED / K
 _COMMON = 32
 # Rounds of comparing open lists with a leader, and one in how many pairs must be linked
 # for another round to be worth its while; what is left is compared pair by pair.
@@ -159,38 +162,15 @@ def estimate_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def set_batches(cells: int, wanted):
-    """(digest, set) of texts whose digest may be wanted, each once a batch."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (bits,) = wanted.value
-        for batch in batches(source):
-            _, found = sets(*flat(batch.column("text")))
-            by_digest = {_digest(s): s for s in found if len(s)}
-            if not by_digest:
-                continue
-            keys = np.array([int.from_bytes(d[:8], "little") for d in by_digest], U64)
-            hit = count_min.reached(bits, keys, cells)
-            some = [(d, s) for (d, s), h in zip(by_digest.items(), hit) if h]
-            if some:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d for d, _ in some], pa.binary()),
-                        pa.array([s.tobytes() for _, s in some], pa.binary()),
-                    ],
-                    ["digest", "members"],
-                )
-
-    return run
-
-
-def digest_counts(cells: int):
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            keys = np.array([int.from_bytes(d[:8], "little") for d in batch.column(0).to_pylist()], U64)
-            yield count_min.partial(keys, cells)
-
-    return run
+def set_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, set) of each text that has words, equal sets once a batch."""
+    for batch in batches(source):
+        _, found = sets(*flat(batch.column("text")))
+        by_digest = {_digest(s): s.tobytes() for s in found if len(s)}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(by_digest), pa.binary()), pa.array(list(by_digest.values()), pa.binary())],
+            ["digest", "members"],
+        )
 
 
 def exact_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,22 +192,23 @@ def exact_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(class, members): the full sets of ``nodes`` (class), from a pass over the texts."""
-    wanted = stage(nodes.join(classes.select("class", "digest"), "class"), "wanted_sets")
-    cells = count_min.cells_for(wanted.count(), 0.25, _MAX_CELLS)
-    bits = count_min.merged(
-        wanted.select("digest").mapInArrow(digest_counts(cells), count_min.PARTIAL), cells, thresholds=(1,)
-    )
-    full = texts.select("text").mapInArrow(
-        set_batches(cells, texts.sparkSession.sparkContext.broadcast(bits)), "digest binary, members binary"
+    """(class, members): the full sets of ``nodes`` (class), in one pass over the texts.
+
+    Only texts under the least id of a wanted class are hashed; texts under one id that
+    differ are told apart by the digest of their sets.
+    """
+    wanted = stage(nodes.join(classes.select("class", "digest", "least"), "class"), "wanted_sets")
+    chosen = wanted.select("least").distinct()
+    full = texts.join(chosen, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    once = full.mapInArrow(set_batches, "digest binary, members binary").groupBy("digest").agg(
+        F.first("members").alias("members")
     )
-    once = full.groupBy("digest").agg(F.first("members").alias("members"))
     members = stage(once.join(wanted, "digest").select("class", "members"), "members")
     dispose(wanted)
     return members
 
 
-def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _links(classes: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) that are linked, judged on full sets."""
     sketches = classes.select("class", "sketch")
     likely = stage(
@@ -237,7 +218,6 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         .mapInArrow(estimate_batches, "a long, b long"),
         "likely_pairs",
     )
-    members = _members(texts, classes, likely.select(F.explode(F.array("a", "b")).alias("class")).distinct())
     links = stage(
         likely.join(members.toDF("b", "set_b"), "b")
         .join(members.toDF("a", "set_a"), "a")
@@ -245,7 +225,7 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         .mapInArrow(exact_batches, "a long, b long"),
         "links",
     )
-    dispose(likely, members)
+    dispose(likely)
     return links
 
 
@@ -262,12 +242,18 @@ def _join_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _open_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries, with components, of lists whose members are not all in one component."""
+    """Entries, with components and their list's length (``held``), of lists whose members
+    are not all in one component."""
     placed = entries.join(found.withColumnRenamed("node", "class"), "class", "left")
     placed = stage(placed.withColumn("component", F.coalesce("component", "class")), "placed_entries")
-    apart = placed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    opened = stage(placed.join(apart.select("value"), "value", "left_semi"), "open_entries")
-    dispose(placed)
+    lists = placed.groupBy("value").agg(
+        F.count("*").alias("held"), (F.min("component") < F.max("component")).alias("open")
+    )
+    lists = stage(lists, "lists")
+    # Closed lists too, as a long one of them would else meet in one task.
+    opened = join_groups(placed, lists, "value", "held", placed.count()).filter("open").drop("open")
+    opened = stage(opened, "open_entries")
+    dispose(placed, lists)
     return opened
 
 
@@ -305,6 +291,7 @@ def compare_list(table: pa.Table) -> pa.Table:
     members = [np.frombuffer(x, np.uint32) for x in table.column("members").to_pylist()]
     listed = [np.array(x, np.int64) for x in table.column("listed").to_pylist()]
     earlier = [x[x < value] for x in listed]
+    met = n - np.array([len(x) for x in members])
     rows, cols = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
     found_a, found_b = [], []
     for i in range(0, len(rows), _TILE):
@@ -326,8 +313,9 @@ def compare_list(table: pa.Table) -> pa.Table:
                 counts = _shared_counts([members[k] for k in x], [members[k] for k in y])
                 p, q = np.nonzero(mask)
                 shared = counts[p, q]
-            # One more, as two of a set's values may have met when they were shortened.
-            good = 100 * (shared + 1) >= 75 * (n[x[p]] + n[y[q]] - shared - 1)
+            # At most so many more, as values of a set may have met when they were shortened.
+            shared = shared + np.minimum(met[x[p]], met[y[q]])
+            good = 100 * shared >= 75 * (n[x[p]] + n[y[q]] - shared)
             found_a.append(classes[x[p[good]]])
             found_b.append(classes[y[q[good]]])
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -336,25 +324,26 @@ def compare_list(table: pa.Table) -> pa.Table:
 
 
 def shorten(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets with each hash cut to 32 bits."""
+    """Sets with each hash cut to 32 bits; values that meet are kept once."""
     for batch in batches(source):
         raw, cuts = flat(batch.column("members"))
         values = (np.frombuffer(raw.tobytes(), U64) >> U64(32)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([batch.column("class"), binaries(values, cuts // 8)], ["class", "members"])
+        cuts = cuts // 8
+        new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
+        new[cuts[:-1][np.diff(cuts) > 0]] = True
+        kept = np.r_[0, np.cumsum(new)][cuts]
+        yield pa.RecordBatch.from_arrays([batch.column("class"), binaries(values[new], kept)], ["class", "members"])
 
 
-def _across(texts: DataFrame, classes: DataFrame, opened: DataFrame) -> DataFrame:
+def _across(whole: DataFrame, opened: DataFrame) -> DataFrame:
     """Likely links (a, b) between members of one list in different components.
 
     Lists longer than ``_BLOCK`` are cut into blocks, a task for every two of them.
     """
-    nodes = stage(opened.select("class").distinct(), "open_classes")
-    whole = _members(texts, classes, nodes)
     members = whole.mapInArrow(shorten, "class long, members binary")
     own = opened.groupBy("class").agg(F.collect_list("value").alias("listed"))
-    sizes = opened.groupBy("value").agg(F.count("*").alias("held")).filter(F.col("held") > _BLOCK)
-    full = opened.join(sizes, "value", "left").join(own, "class").join(members, "class")
-    blocks = F.ceil(F.coalesce("held", F.lit(1)) / _BLOCK).cast("int")
+    full = opened.join(own, "class").join(members, "class")
+    blocks = F.ceil(F.col("held") / _BLOCK).cast("int")
     full = full.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("class"), "blocks")).drop("held")
     one = full.filter("blocks = 1").withColumn("other", F.lit(0))
     many = full.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -365,9 +354,7 @@ def _across(texts: DataFrame, classes: DataFrame, opened: DataFrame) -> DataFram
         .applyInArrow(compare_list, "a long, b long")
         .distinct()
     )
-    found = stage(found, "cross_links")
-    dispose(nodes, whole)
-    return found
+    return stage(found, "cross_links")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -407,16 +394,19 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         F.min(F.struct("class", "n")).alias("first"), F.count("*").alias("members")
     )
     firsts = stage(firsts.filter("members > 1"), "list_firsts")
+    joined = join_groups(entries, firsts, "value", "members", entries.count()).filter("members > 1")
+    shared = stage(joined, "shared_entries")
+    dispose(entries, firsts)
+    entries = shared.select("value", "class", "n")
+    members = _members(texts, classes, entries.select("class").distinct())
     stars = stage(
-        join_groups(entries, firsts, "value", "members", entries.count())
-        .filter(F.col("class") > F.col("first.class"))
+        shared.filter(F.col("class") > F.col("first.class"))
         .filter(_similar_sizes("n", "first.n"))
         .select(F.col("first.class").alias("a"), F.col("class").alias("b"))
         .distinct(),
         "star_pairs",
     )
-    dispose(firsts)
-    links = _links(texts, classes, stars)
+    links = _links(classes, members, stars)
     found = _join_components(None, links)
     tested = stars
     for number in range(_ROUNDS):
@@ -435,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         )
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "leader_pairs")
         dispose(opened, leaders)
-        links = _links(texts, classes, pairs)
+        links = _links(classes, members, pairs)
         tested = tested.union(pairs)
         tried, linked = pairs.count(), links.count()
         if linked:
@@ -444,10 +434,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
             break
     opened = _open_lists(entries, found)
     dispose(entries)
-    more = _across(texts, classes, opened)
+    more = _across(members, opened)
     dispose(opened)
     if not more.isEmpty():
-        found = _join_components(found, _links(texts, classes, more))
+        found = _join_components(found, _links(classes, members, more))
+    dispose(members)
 
     named = classes.select("class", "digest", "least", "size").join(
         found.withColumnRenamed("node", "class"), "class", "left"
