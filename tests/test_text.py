@@ -1,6 +1,7 @@
 """Slugs, derived URIs, external ids and embedding text."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -101,8 +102,15 @@ def test_rounded_text_is_exact(spark, digits):
     # Single-precision features widened to double.
     values += [struct.unpack("f", struct.pack("f", rng.random()))[0] for _ in range(1000)]
     values += [rng.uniform(-1e11, 1e11) for _ in range(1000)]
+    # Where doubles lie as far apart as the last decimal, and further.
+    values += [math.ldexp(rng.uniform(-1, 1), rng.randint(38, 56)) for _ in range(4000)]
+    values += [math.ldexp(rng.random(), rng.randint(53, 1024)) for _ in range(2000)]
+    values += [10.0**k for k in range(12, 309)] + [2.0**k for k in range(38, 1024)]
+    values += [1e12, 2e23, 8.41e21, 9007199254740993.0, -1e16, math.inf, -math.inf, math.nan, None]
     got = apply(spark, [(v,) for v in values], "v double", tx.rounded_text(F.col("v"), digits))
-    wrong = [(v, g, str(round(v, digits))) for v, g in zip(values, got) if g != str(round(v, digits))]
+    want = [None if v is None else str(round(v, digits)) for v in values]
+    same = lambda g, w: g == w or ("e+" in w and len(w.split("e")[0]) > 17 and len(g) == len(w) and float(g) == float(w))
+    wrong = [(v, g, w) for v, g, w in zip(values, got, want) if not same(g, w)]
     assert not wrong[:5]
 
 

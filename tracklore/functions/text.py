@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from decimal import Decimal
 
@@ -97,15 +98,13 @@ def track_id(uri: Column) -> Column:
     return F.when(usable, rest)
 
 
-def _rounded_exactly(value: Column, digits: int) -> Column:
-    """``rounded_text`` for any value, deciding on the exact binary value.
+def _exact_units(x: Column, digits: int) -> Column:
+    """x * 10**digits to the nearest whole number, ties to even, for 0 <= x < 2**53.
 
-    Multiplying by 10**digits is made exact by splitting the double into two short
-    halves (Veltkamp's split), so the half-way test sees no rounding error. Magnitudes
-    of 1e12 and more, where no feature lies, are printed as they are.
+    Multiplying is made exact by splitting the double into two short halves (Veltkamp's
+    split), so the half-way test sees no rounding error.
     """
     scale = 10**digits
-    x = F.abs(value)
     spread = x * F.lit(134217729.0)
     high = spread - (spread - x)
     a = high * F.lit(float(scale))
@@ -116,14 +115,51 @@ def _rounded_exactly(value: Column, digits: int) -> Column:
     whole = F.floor(a) + F.rint(b).cast("bigint")
     half = (fa - F.lit(0.5)) + fb
     odd = whole % 2 == 1
-    step = (
+    return whole + (
         F.when((half > 0) | ((half == 0) & odd), 1)
         .when((fa == 0) & (fb == -0.5) & odd, -1)
         .otherwise(0)
     )
+
+
+def _rounded_exactly(value: Column, digits: int) -> Column:
+    """``rounded_text`` for any value, deciding on the exact binary value.
+
+    Once doubles lie further apart than the last decimal, rounding changes none of them.
+    """
+    x = F.abs(value)
     sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
-    return F.when(x < F.lit(1e12), F.concat(sign, _scaled_text(whole + step, digits))).otherwise(
-        F.lower(value.cast("string"))
+    coarse = 2.0 ** (53 - math.ceil(math.log2(10**digits)))
+    rounded = _scaled_text(_exact_units(x, digits), digits)
+    return F.concat(sign, F.when(x < F.lit(coarse), rounded).otherwise(_coarse_text(x, digits)))
+
+
+def _coarse_text(x: Column, digits: int) -> Column:
+    """The shortest decimal that reads as ``x``, whose neighbours differ by 10**-digits or
+    more; from 1e16 with an exponent, then ``inf`` and ``nan``.
+
+    From 1e16, where two of 17 digits read as ``x``, it may be the one further off.
+    """
+    plain = F.when(x == F.rint(x), F.concat(x.cast("bigint").cast("string"), F.lit(".0")))
+    for places in range(1, digits + 1):
+        text = _scaled_text(_exact_units(x, places), places)
+        plain = plain.when(text.cast("double") == x, text) if places < digits else plain.otherwise(text)
+    # The JVM may print digits more than needed, so fewer are tried first.
+    printed = x.cast("string")
+    mantissa = F.substring_index(printed, "E", 1)
+    power = F.substring_index(printed, "E", -1)
+    fewer = [
+        F.concat(cut(mantissa.cast("decimal(20,18)"), places).cast("string"), F.lit("E"), power)
+        for places in (14, 15, 16)
+        for cut in (F.round, F.ceil)
+    ]
+    shortest = F.coalesce(*[F.when(t.cast("double") == x, t) for t in fewer], printed)
+    large = F.regexp_replace(shortest, r"\.?0*E", "e+")
+    return (
+        F.when(F.isnan(x), "nan")
+        .when(x == F.lit(float("inf")), "inf")
+        .when(x < F.lit(1e16), plain)
+        .otherwise(large)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklore.fixed_values import CONTEXT_TYPE_LENGTH, TEXT_LENGTH, VECTOR_WIDTH
-from tracklore.schema import FOREIGN_KEYS, Star
+from tracklore.schema import FOREIGN_KEYS, UNIQUE_KEYS, Star
 
 # (column, rule, bound) per table.
 COLUMN_RULES = {
@@ -49,6 +49,23 @@ def duplicate_keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return whole.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 
+def key_counts(star: Star) -> DataFrame:
+    """(table_name, n_keys, n_rows, n_repeated) of every table's unique key; rows with a NULL
+    in their key count in none."""
+    out = None
+    for name, keys in UNIQUE_KEYS.items():
+        whole = star[name].dropna(subset=keys)
+        # One row per key leaves the first aggregate, so a hot key is summed map-side.
+        part = whole.groupBy(*keys).agg(F.count("*").alias("n")).agg(
+            F.lit(name).alias("table_name"),
+            F.count("*").alias("n_keys"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+            F.count_if(F.col("n") > 1).alias("n_repeated"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def column_violations(table: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     """(column_name, rule, violations) for each rule, from one pass over the table."""
 

@@ -517,6 +517,21 @@ def oracle_sql() -> dict[str, str]:
         "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem "
         "WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"
     )
+    keyed = [
+        ("tracks", "t_tracks", "uri"),
+        ("artists", "t_artists", "uri"),
+        ("track_artists", "t_bridge", "track_uri, artist_uri"),
+        ("played_history", "(SELECT 'spotify:track:' || l_partkey AS track_uri, l_shipdate AS played_at FROM lineitem)",
+         "track_uri, played_at"),
+        ("audio_features", "t_features", "track_uri"),
+        ("embeddings", "t_vectors", "track_uri"),
+    ]
+    star("dq_unique_star", " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, count(*) AS n_keys, coalesce(sum(n), 0)::BIGINT AS n_rows, "
+        f"count(*) FILTER (WHERE n > 1) AS n_repeated FROM (SELECT {keys}, count(*) AS n FROM {source} "
+        f"WHERE {' AND '.join(k + ' IS NOT NULL' for k in keys.split(', '))} GROUP BY {keys})"
+        for table, source, keys in keyed
+    ))
     star("dq_columns", " UNION ALL ".join(
         f"SELECT '{column}' AS column_name, '{rule}' AS rule, "
         f"count(*) FILTER (WHERE {test}) AS violations, '{table}' AS table_name FROM {source}"

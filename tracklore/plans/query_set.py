@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -633,6 +634,13 @@ def dq_unique(spark, sf_dir):
     return quality.duplicate_keys(items, ["l_orderkey", "l_linenumber"])
 
 
+@query
+def dq_unique_star(spark, sf_dir):
+    """Every table's key, over the plays as the export has them, repeats included."""
+    star = adapters.star(spark, sf_dir)
+    return quality.key_counts(replace(star, played_history=adapters.lineitem_plays(spark, sf_dir)))
+
+
 @query
 def dq_columns(spark, sf_dir):
     out = None
