@@ -45,8 +45,8 @@ STAGES = [
     ("bpe_encoding", encode),
 ]
 
-# The language model and the tokenizer can't be written in SQL; tests compare the result
-# with a brute-force version.
+# The language model and the tokenizer can't be written in SQL; tests compare the operators
+# of the stages, not the whole, with plain versions.
 ORACLE_SQL = None
 
 
