@@ -6,7 +6,7 @@ import math
 import unicodedata
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,16 +26,21 @@ def clean_slug(value: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(value), "[^a-z0-9]", "_"), F.lit("_"))
 
 
-@F.pandas_udf(StringType())
-def _unicode_identity(*components: pd.Series) -> pd.Series:
-    canonical = [
-        part.map(lambda s: unicodedata.normalize("NFKC", s).strip().casefold(), na_action="ignore")
-        for part in components
-    ]
-    joined = canonical[0]
-    for part in canonical[1:]:
-        joined = joined + fx.IDENTITY_SEPARATOR + part
-    return joined
+@F.arrow_udf(StringType())
+def _unicode_identity(*components: pa.Array) -> pa.Array:
+    if any(part.null_count == len(part) for part in components):
+        # The usual batch: every row was done in generated code.
+        return pa.nulls(len(components[0]), pa.string())
+    rows = zip(*(part.to_pylist() for part in components))
+    return pa.array(
+        [
+            None if None in row else fx.IDENTITY_SEPARATOR.join(
+                unicodedata.normalize("NFKC", s).strip().casefold() for s in row
+            )
+            for row in rows
+        ],
+        pa.string(),
+    )
 
 
 def identity(*components: Column, when: Column | None = None) -> Column:

@@ -32,12 +32,17 @@ def track_rows(plays: DataFrame) -> DataFrame:
 
 
 def artist_rows(plays: DataFrame, collision_safe: bool = False) -> DataFrame:
-    named = with_artist_uri(plays, collision_safe)
-    rows = named.select(
-        F.col("artist_uri").alias("uri"), F.col("artist_name").alias("name"), *SOURCE_ORDER
+    # The first place of each name comes before the URIs, which are made once a name.
+    place = F.min(F.struct(*SOURCE_ORDER))
+    names = with_artist_uri(plays.groupBy("artist_name").agg(place.alias("place")), collision_safe)
+    rows = names.select(
+        F.col("artist_uri").alias("uri"), F.col("artist_name").alias("name"), "place"
     )
-    return first_wins(rows, ["uri"], SOURCE_ORDER)
+    return first_wins(rows, ["uri"], ["place"])
 
 
 def track_artist_rows(plays: DataFrame, collision_safe: bool = False) -> DataFrame:
-    return with_artist_uri(plays, collision_safe).select("track_uri", "artist_uri").distinct()
+    # The generator keeps Spark from dropping the first of the two aggregates.
+    credits = plays.select("track_uri", "artist_name").distinct()
+    credits = credits.select(F.inline(F.array(F.struct("track_uri", "artist_name"))))
+    return with_artist_uri(credits, collision_safe).select("track_uri", "artist_uri").distinct()

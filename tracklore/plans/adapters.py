@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from tracklore import fixed_values as fx
 from tracklore.schema import Star
+from tracklore.session import stage
 
 RECORDS_PER_DOCUMENT = 1000
+# Stored documents are parsed by as many tasks as Spark makes of the files, each file
+# counting as 4 MB more than it has; few documents a file keep tasks short.
+DOCUMENTS_PER_FILE = 50
 
 
 @lru_cache(maxsize=256)
@@ -195,27 +199,30 @@ def _record_json() -> Column:
     album = F.concat(F.lit("Album "), F.get_json_object("props", "$.k"))
     ms = F.floor(value * 1000) - 5000
 
-    def record(duration: Column) -> Column:
-        return F.to_json(
-            F.struct(
-                stamp_text().alias(fx.KEY_TIMESTAMP),
-                uri.alias(fx.KEY_TRACK_URI),
-                title.alias(fx.KEY_TITLE),
-                artist.alias(fx.KEY_ARTIST),
-                album.alias(fx.KEY_ALBUM),
-                duration.alias(fx.KEY_DURATION),
-                F.lit("ignored").alias("platform"),
-            ),
-            {"ignoreNullFields": "false"},
-        )
+    def written(*fields: Column) -> Column:
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
-    return (
-        F.when(kind == "signup", record(ms.cast("string")))
-        .when((kind == "view") & (value >= 100), record(F.lit(None).cast("bigint")))
-        .when((kind == "error") & (value >= 100), record(F.lit("abc")))
-        .when(kind == "error", record(ms + F.lit(0.75)))
-        .otherwise(record(ms))
+    def ending(duration: Column) -> Column:
+        return written(duration.alias(fx.KEY_DURATION), F.lit("ignored").alias("platform"))
+
+    # Only the end of a record differs by kind. With five whole records to choose from, the
+    # generated code is too long for the JVM to compile.
+    beginning = written(
+        stamp_text().alias(fx.KEY_TIMESTAMP),
+        uri.alias(fx.KEY_TRACK_URI),
+        title.alias(fx.KEY_TITLE),
+        artist.alias(fx.KEY_ARTIST),
+        album.alias(fx.KEY_ALBUM),
+    )
+    end = (
+        F.when(kind == "signup", ending(ms.cast("string")))
+        .when((kind == "view") & (value >= 100), ending(F.lit(None).cast("bigint")))
+        .when((kind == "error") & (value >= 100), ending(F.lit("abc")))
+        .when(kind == "error", ending(ms + F.lit(0.75)))
+        .otherwise(ending(ms))
     )
+    # A text or null stands before the one brace and a key after the other.
+    return F.concat(F.rtrim(beginning, F.lit("}")), F.lit(","), F.ltrim(end, F.lit("{")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +231,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every document starts with two elements that are not objects. Each comes with a
     truncated copy and one whose root is an object; neither may add a record.
     """
+    return _with_broken_copies(_whole_documents(spark, sf_dir))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for several readers: the whole ones are written once, the copies are made
+    from them when read."""
+    whole = _whole_documents(spark, sf_dir)
+    return _with_broken_copies(stage(whole, "documents", maxRecordsPerFile=DOCUMENTS_PER_FILE))
+
+
+def _whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, text) of every document."""
     events = table(spark, sf_dir, "events").select(
         F.floor(F.col("event_id") / RECORDS_PER_DOCUMENT).alias("doc"),
         F.struct("event_id", _record_json().alias("json")).alias("item"),
@@ -232,6 +251,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform("items", lambda i: i["json"]), ",")
     text = F.concat(F.lit('["a text",17,'), body, F.lit("]"))
     name = F.concat(F.lit("history-"), F.lpad(F.col("doc").cast("string"), 12, "0"))
+    return arrays.select(name.alias("name"), text.alias("text"))
+
+
+def _with_broken_copies(whole: DataFrame) -> DataFrame:
+    name, text = F.col("name"), F.col("text")
     variants = F.array(
         F.struct(F.concat(name, F.lit(".json")).alias("file_name"), text.alias("value")),
         F.struct(
@@ -243,7 +267,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit('{"items":'), text, F.lit("}")).alias("value"),
         ),
     )
-    return arrays.select(F.inline(variants))
+    return whole.select(F.inline(variants))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,7 +349,7 @@ def default_stamps(spark, sf_dir):
 
     start = now()
     warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
-    documents = stage(adapters.documents(spark, sf_dir), "documents")
+    documents = adapters.stored_documents(spark, sf_dir)
     import_history.load_documents(warehouse, documents)
     half = now()
     import_history.load_documents(warehouse, documents)
@@ -369,7 +369,7 @@ def default_stamps(spark, sf_dir):
 def import_twice(spark, sf_dir):
     """Loading the same documents again adds nothing."""
     warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
-    documents = stage(adapters.documents(spark, sf_dir), "documents")
+    documents = adapters.stored_documents(spark, sf_dir)
     import_history.load_documents(warehouse, documents)
     import_history.load_documents(warehouse, documents)
     return _row_counts(warehouse, IMPORTED)
@@ -409,7 +409,7 @@ _FIRST_HALF = "cast(substring(file_name, 9, 12) AS bigint) % 2 = 0"
 def view_after_reset(spark, sf_dir):
     """The view as opened before a reset, and as published after the next load."""
     warehouse = Warehouse(spark, new_stage_path(spark, "warehouse"))
-    documents = stage(adapters.documents(spark, sf_dir), "documents")
+    documents = adapters.stored_documents(spark, sf_dir)
     import_history.load_documents(warehouse, documents)
     opened = import_history.open_history(spark, warehouse.root)
     warehouse.reset()

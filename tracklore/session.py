@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A repeated key in a JSON object keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Many export files are listed by this many tasks, not by one task for every file.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
 }
 
 
@@ -62,13 +64,13 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tracklore-{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of re-running the whole
     plan) and, being columnar, lets each later reader prune columns.
     """
     spark = df.sparkSession
     path = new_stage_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ DOCUMENT_SCHEMA = "file_name string, value string"
 _END = '["end-of-document"]'
 # A document is one Spark string of at most 2 GB, and is wrapped in some more text.
 MAX_DOCUMENT_BYTES = (1 << 31) - 1024
+_JSON_SPACE = " \t\n\r"
 _JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 _FIELDS = {
@@ -136,8 +137,8 @@ def explode_records(documents: DataFrame) -> DataFrame:
 
 
 def _skip_reason(array: Column) -> Column:
-    """Why a document adds nothing; NULL for one that was read. A document without an array
-    is parsed once more to tell whether it is one JSON value at all."""
+    """Why a document adds nothing; NULL for one that was read. One that doesn't begin as an
+    array is parsed once more to tell whether it is one JSON value at all."""
     values = F.try_variant_get(
         F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$", "array<variant>"
     )
@@ -145,6 +146,7 @@ def _skip_reason(array: Column) -> Column:
         F.when(F.col("value").isNull(), "too_large")
         .when(~F.is_valid_utf8("value"), "not_utf8")
         .when(array.isNotNull(), None)
+        .when(F.ltrim("value", F.lit(_JSON_SPACE)).startswith("["), "not_json")
         .when(F.size(values) == 1, "not_array")
         .otherwise("not_json")
     )

@@ -177,7 +177,7 @@ class Warehouse:
             text = TABLE_SCHEMAS[name] + (f", {MONTH} string" if name == "played_history" else "")
             schema = T.StructType.fromDDL(text)
         if not commits:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         paths = [f"{self.path(name)}/{COMMIT}={c}" for c in commits]
         return self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*paths).drop(COMMIT)
 
