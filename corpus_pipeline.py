@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = bpe.encode(docs, vocabulary_path("byte_bpe_50k.json"), carry=["doc_id"])
+    found = bpe.encode(docs, vocabulary_path("byte_bpe_50k.json"), carry=["doc_id"], with_decoded=False)
     return found.select("doc.doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklore.llm.text_arrays import batches, prepare, ragged
+from tracklore.llm.text_arrays import batches, prepare, ragged, release
 
 # Fixed value: the pattern by which this kind of vocabulary splits texts into pieces.
 PIECES = (
@@ -263,8 +263,9 @@ def texts_of(column: pa.Array) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
-def encode_batches(shared, with_ids: bool):
+def encode_batches(shared, with_ids: bool, with_decoded: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder = Encoder(shared.value)
         for batch in batches(source):
             ids, cuts = encoder.encode(texts_of(batch.column("text")))
@@ -277,15 +278,25 @@ def encode_batches(shared, with_ids: bool):
             columns["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])
             if with_ids:
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            if with_decoded:
                 columns["decoded"] = pa.array(decoded, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    path: str,
+    text_col: str = "text",
+    carry: list[str] | None = None,
+    with_ids: bool = True,
+    with_decoded: bool | None = None,
+) -> DataFrame:
     """``docs`` (as struct ``doc``, or of it the columns in ``carry``) with n_tokens, digests
-    of the ids and of the text decoded from them, and with ``with_ids`` both themselves."""
+    of the ids and of the text decoded from them, and with ``with_ids`` the ids themselves;
+    ``with_decoded`` adds the decoded text, by default as ``with_ids`` says."""
+    with_decoded = with_ids if with_decoded is None else with_decoded
     spark = prepare(docs.sparkSession, BATCH_BYTES)
     shared = spark.sparkContext.broadcast(Vocabulary.load(path))
     rows = docs.select(F.struct(*(carry or docs.columns)).alias("doc"), F.col(text_col).alias("text"))
@@ -293,5 +304,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: list[str]
         "doc", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")
     ).schema
     if with_ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
-    return rows.mapInArrow(encode_batches(shared, with_ids), schema)
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    if with_decoded:
+        schema = schema.add("decoded", "string")
+    return rows.mapInArrow(encode_batches(shared, with_ids, with_decoded), schema)

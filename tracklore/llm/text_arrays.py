@@ -96,6 +96,13 @@ def hasher(seed: int) -> Hasher:
     return Hasher(seed)
 
 
+def release() -> None:
+    """Give back what earlier operators left in a worker that Spark uses again: the power
+    tables of their hashes, and memory that Arrow keeps for later."""
+    hasher.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Hasher:
     """Two or more independent hashes of byte ranges and of sequences of hashes."""
 
