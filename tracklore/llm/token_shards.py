@@ -6,9 +6,9 @@ batch of documents, each followed by the end id, as one wavelet matrix file; fil
 binary values of a Parquet table, so any store that Spark writes to can hold them.
 
 The library encodes each distinct run of text between white space once per worker and
-cache filling; the pre-tokeniser drops white space and never joins across it, so the ids of
-a text are those of its runs. The tokenizer file's path is a parameter; its text is
-broadcast (the size of a vocabulary).
+cache filling, and a batch looks each of its distinct runs up once; the pre-tokeniser drops
+white space and never joins across it, so the ids of a text are those of its runs. The
+tokenizer file's path is a parameter; its text is broadcast (the size of a vocabulary).
 
 Where a document starts in the whole corpus comes from sums over shards, then over
 partitions, then over groups of partitions, so no task sees more than a part of them.
@@ -20,7 +20,6 @@ ids are ordered by a hash of their texts; an empty table makes no shards and giv
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracklore.llm.text_arrays import batches, prepare, ragged
+from tracklore.llm.text_arrays import LOWER, batches, binaries, flat, prepare, ragged, spaces, words
 from tracklore.llm.wavelet import WaveletMatrix
 
 END_ID = 2
@@ -40,10 +39,30 @@ _CACHED_RUNS = 900_000
 _SEPARATOR = b"0"
 _TOGETHER = 200
 _PARTITIONS_TOGETHER = 1024
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # Between a letter and such a sign there is always a boundary, as at white space. Letters
-# here: a-z, and the two-byte ones of Western European languages.
-_SIGN = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[.,;:!?])")
+# here: a-z, and the two-byte ones of Western European languages (0xC3 and one of _SECOND).
+_SIGN = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.isin(np.arange(256), list(range(0x61, 0x7B)))
+_SECOND = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct runs, the number of each run among them, offsets by text)."""
+    lower = LOWER[data]
+    marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    text = np.searchsorted(offsets, marks, "right") - 1
+    marked = np.unique(text[marks + 1 < offsets[text + 1]])
+    for i in marked.tolist():  # a special token may be in it, which has a case
+        lower[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
+    sign = np.flatnonzero(_SIGN[lower])
+    text = np.searchsorted(offsets, sign, "right") - 1
+    letter = _LETTER[lower[sign - 1]]
+    letter |= (sign - 2 >= offsets[text]) & (lower[np.maximum(sign, 2) - 2] == 0xC3) & _SECOND[lower[sign - 1]]
+    sign = sign[letter & ~np.isin(text, marked)]
+    # At a text's first byte there is an edge anyway, whatever stands before it.
+    starts, ends, cuts = words(lower, np.r_[offsets, sign], spaces())
+    coded = binaries(lower[~spaces()[lower]], np.r_[0, np.cumsum(ends - starts)]).dictionary_encode()
+    return coded.dictionary.to_numpy(False).tolist(), coded.indices.to_numpy(), cuts[: len(offsets)]
 
 
 class RunEncoder:
@@ -92,24 +111,18 @@ class RunEncoder:
         self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(np.concatenate(lengths))])
         self.ids = np.concatenate([self.ids, *found])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets by text)."""
-        split = []
-        for text in texts:
-            if b"<|" not in text:  # else a special token may be in it, which has a case
-                text = _SIGN.sub(b" ", text.translate(_LOWER))
-            split.append(text.split())
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by text) of texts in one array; each distinct run is looked up once."""
+        runs, run, cuts = _runs(data, offsets)
         if len(self.known) > _CACHED_RUNS:
             self._forget()
-        new = list(dict.fromkeys(r for runs in split for r in runs if r not in self.known))
+        new = [r for r in runs if r not in self.known]
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        run = np.fromiter((n for runs in split for n in map(get, runs)), np.int64, int(per_text.sum()))
+        run = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))[run]
         size = np.diff(self.cuts)[run]
         ids = self.ids[ragged(self.cuts[run], size)]
-        return ids, np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(per_text)]]
+        return ids, np.r_[0, np.cumsum(size)][cuts]
 
 
 _SHARD = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -129,8 +142,7 @@ def shard_batches(shared, end_id: int | None):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for seq, batch in enumerate(batches(source)):
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids, cuts = encoder.encode(texts)
+            ids, cuts = encoder.encode(*flat(batch.column("text")))
             lengths = np.diff(cuts)
             if end_id is not None:
                 ids = np.insert(ids, cuts[1:], end_id)
@@ -144,7 +156,7 @@ def shard_batches(shared, end_id: int | None):
                 {
                     "part": batch.column("part").slice(0, 1),
                     "seq": pa.array([seq], pa.int32()),
-                    "n_docs": pa.array([len(texts)], pa.int64()),
+                    "n_docs": pa.array([batch.num_rows], pa.int64()),
                     "n_tokens": pa.array([len(ids)], pa.int64()),
                     "file": pa.array([file], pa.binary()),
                 }
