@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tracklore.llm import count_min
 from tracklore.llm.components import components
-from tracklore.llm.joins import free_name, join_groups
+from tracklore.llm.joins import free_name, is_hot, join_groups, join_marked
 from tracklore.llm.scratch import dispose
 from tracklore.llm.text_arrays import LOWER, U64, batches, binaries, flat, hasher, prepare, ragged, spaces, words
 from tracklore.session import stage
@@ -241,18 +241,21 @@ def _join_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return joined
 
 
-def _open_lists(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries, with components and their list's length (``held``), of lists whose members
-    are not all in one component."""
+def _open_lists(entries: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """Entries, with components, their list's length (``held``) and its leader of this
+    round (``first``), of lists whose members are not all in one component.
+
+    Closed lists never open again, so later rounds start from what this one returns.
+    """
     placed = entries.join(found.withColumnRenamed("node", "class"), "class", "left")
     placed = stage(placed.withColumn("component", F.coalesce("component", "class")), "placed_entries")
-    lists = placed.groupBy("value").agg(
-        F.count("*").alias("held"), (F.min("component") < F.max("component")).alias("open")
+    lists = placed.groupBy("value", "hot").agg(
+        F.count("*").alias("held"),
+        F.min(F.struct(F.xxhash64("value", "class", F.lit(number)), "class", "n", "component")).alias("first"),
+        (F.min("component") < F.max("component")).alias("open"),
     )
-    lists = stage(lists, "lists")
-    # Closed lists too, as a long one of them would else meet in one task.
-    opened = join_groups(placed, lists, "value", "held", placed.count()).filter("open").drop("open")
-    opened = stage(opened, "open_entries")
+    lists = stage(lists.filter("open").drop("open"), "lists")
+    opened = stage(join_marked(placed, lists, "value", "hot"), "open_entries")
     dispose(placed, lists)
     return opened
 
@@ -394,10 +397,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
         F.min(F.struct("class", "n")).alias("first"), F.count("*").alias("members")
     )
     firsts = stage(firsts.filter("members > 1"), "list_firsts")
-    joined = join_groups(entries, firsts, "value", "members", entries.count()).filter("members > 1")
-    shared = stage(joined, "shared_entries")
+    total = entries.count()
+    joined = join_groups(entries, firsts, "value", "members", total).filter("members > 1")
+    shared = stage(joined.withColumn("hot", is_hot("members", total)), "shared_entries")
     dispose(entries, firsts)
-    entries = shared.select("value", "class", "n")
+    entries = shared.select("value", "class", "n", "hot")
     members = _members(texts, classes, entries.select("class").distinct())
     stars = stage(
         shared.filter(F.col("class") > F.col("first.class"))
@@ -409,31 +413,28 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     links = _links(classes, members, stars)
     found = _join_components(None, links)
     tested = stars
+    opened = _open_lists(entries, found, 0)
+    dispose(entries)
     for number in range(_ROUNDS):
-        opened = _open_lists(entries, found)
-        leaders = opened.groupBy("value").agg(
-            F.min(F.struct(F.xxhash64("value", "class", F.lit(number)), "class", "n", "component")).alias("first"),
-            F.count("*").alias("members"),
-        )
-        leaders = stage(leaders, "list_leaders")
         pairs = (
-            join_groups(opened, leaders, "value", "members", opened.count())
-            .filter(F.col("component") != F.col("first.component"))
+            opened.filter(F.col("component") != F.col("first.component"))
             .filter(_similar_sizes("n", "first.n"))
             .select(F.least("class", "first.class").alias("a"), F.greatest("class", "first.class").alias("b"))
             .distinct()
         )
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "leader_pairs")
-        dispose(opened, leaders)
         links = _links(classes, members, pairs)
         tested = tested.union(pairs)
         tried, linked = pairs.count(), links.count()
-        if linked:
-            found = _join_components(found, links)
-        if linked * _WORTHWHILE < tried or not tried:
+        if not linked:
             break
-    opened = _open_lists(entries, found)
-    dispose(entries)
+        found = _join_components(found, links)
+        rest = _open_lists(opened.select("value", "class", "n", "hot"), found, number + 1)
+        dispose(opened)
+        opened = rest
+        if linked * _WORTHWHILE < tried:
+            break
+    opened = opened.drop("first", "hot")
     more = _across(members, opened)
     dispose(opened)
     if not more.isEmpty():
